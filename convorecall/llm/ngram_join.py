@@ -12,14 +12,13 @@ regions around single shingles, and document pivots take over inside them:
 3. In each region pivots are drawn, and the distances to them are computed exactly. Sets within the radius of a pivot
    are links. Each set goes to the Voronoi cell of its nearest linked pivot, and is replicated, by the triangle
    inequality, to every cell whose pivot lies within twice the radius; sets linked to no pivot stay together.
-   Each of these regions is joined again in the same way, with four times the pivots. Regions whose members are
-   already connected hold no news and are dropped, so copies of one text never become all their pairs.
-
-Before the whole sets of two documents are fetched, their zones give a lower bound of the distance.
+   Each of these regions is joined again in the same way, with more pivots. Regions whose members are already
+   connected hold no news and are dropped, so copies of one text never become all their pairs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from convorecall.llm.scratch import written
 from convorecall.llm.textkit import Words, distinct_pairs, mix, string_column, text_slices
 
 #: Zones with a shingle in more documents than this make the shingle a common one, which comes last in the order.
-COMMON = 40
+COMMON = 5
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -70,43 +69,43 @@ def shingle_sets(docs: DataFrame, words: int = 5, zone: bool = False) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words, zone), _SET)
 
 
-def _pairs(exact: bool, percent: int):
-    """Distances of pairs: exact, or a lower bound from the two zones."""
+def _pairs(percent: int):
+    """Distances of pairs of sets; a pair whose Jaccard similarity is percent/100 or more is a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
-            nx, ny = get("nx").to_numpy(), get("ny").to_numpy()
-            out, inter = np.empty(len(nx)), np.zeros(len(nx), np.int64)
             sides = []
             for c in ("x_items", "y_items"):
                 a = get(c)
                 at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
                 sides.append((a.values.to_numpy(zero_copy_only=False).view(np.uint64), at))
             (xv, xo), (yv, yo) = sides
-            for i in range(len(nx)):
+            inter = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
                 x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                if not exact:
-                    top = min(x[-1], y[-1])
-                    x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                s = int((y[at] == x).sum()) if len(y) else 0
-                apart = len(x) + len(y) - 2 * s
-                out[i] = 2 * apart / (nx[i] + ny[i] + apart)
-                inter[i] = s
-            union = nx + ny - inter
-            linked = 100 * inter >= percent * union if exact else np.zeros(len(nx), bool)
-            yield pa.RecordBatch.from_arrays([get("x"), get("y"), pa.array(out), pa.array(linked)], names=["x", "y", "d", "linked"])
+                inter[i] = int((y[at] == x).sum())
+            union = np.diff(xo) + np.diff(yo) - inter
+            yield pa.RecordBatch.from_arrays([get("x"), get("y"), pa.array(1 - inter / union), pa.array(100 * inter >= percent * union)], names=["x", "y", "d", "linked"])
 
     return run
 
 
-def _measure(pairs: DataFrame, sets: DataFrame, exact: bool, percent: int) -> DataFrame:
+def _bucketed(sets: DataFrame) -> DataFrame:
+    """Sets as a table bucketed by document, so that joins move the pairs and not the table."""
+    spark = sets.sparkSession
+    name = f"shingle_sets_{uuid.uuid4().hex}"
+    sets.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").saveAsTable(name)
+    return spark.table(name)
+
+
+def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``x, y, d, linked`` of pairs, by a join with the sets of either side."""
-    left = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("items").alias("x_items"))
-    right = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("items").alias("y_items"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "x_items", "y_items").mapInArrow(_pairs(exact, percent), "x long, y long, d double, linked boolean")
+    left = sets.select(F.col("doc_id").alias("x"), F.col("items").alias("x_items"))
+    right = sets.select(F.col("doc_id").alias("y"), F.col("items").alias("y_items"))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "x_items", "y_items").mapInArrow(_pairs(percent), "x long, y long, d double, linked boolean")
 
 
 def _regions(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -122,9 +121,9 @@ def _regions(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     again = whole.withColumn("rank", rank).where(F.col("rank") <= need).select("g", "doc_id")
     light = entries.join(crowded, "doc_id", "left_anti").join(common, "g", "left_anti").select("g", "doc_id")
     prefix = written(light.unionByName(again), "prefix")
-    members = F.sum(F.xxhash64("doc_id").cast("decimal(20,0)"))
-    region = prefix.groupBy("g").agg(F.count("*").alias("size"), members.alias("members")).where("size > 1")
-    region = region.groupBy("size", "members").agg(F.min("g").alias("g")).select("g")
+    members = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"m{k}") for k in (1, 2)]
+    region = prefix.groupBy("g").agg(F.count("*").alias("size"), *members).where("size > 1")
+    region = region.groupBy("size", "m1", "m2").agg(F.min("g").alias("g")).select("g")
     return prefix.join(region, "g").select(F.col("g").alias("region"), "doc_id")
 
 
@@ -145,14 +144,17 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = zones.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     live = written(_regions(reps, docs, words, percent).withColumns({"home": F.lit(True), "comp": F.col("doc_id")}), "regions")
     need = written(live.select("doc_id").distinct(), "members")
-    zone = written(reps.join(need, "doc_id", "left_semi"), "zone")
-    size = zone.select("doc_id", "n")
+    sets = _bucketed(shingle_sets(docs.join(need, "doc_id", "left_semi"), words).select("doc_id", "n", "items"))
+    size = written(sets.select("doc_id", "n"), "sizes")
     links, labels, draw = None, None, 1
     while not live.isEmpty():
-        # Draw pivots outside the largest part of each region: its members need not be told apart.
-        parts = live.groupBy("region", "comp").agg(F.count("*").alias("k"))
-        most = parts.groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
-        pool = live if draw == 1 else live.join(most, "region").where("comp <> most")
+        # Pivots drawn from whole regions gather the groups of copies; later ones come from outside a region's largest
+        # part, whose members need not be told apart, until all others have been pivots.
+        pool = live
+        if draw > 8:
+            parts = live.groupBy("region", "comp").agg(F.count("*").alias("k"))
+            most = parts.groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+            pool = live.join(most, "region").where("comp <> most")
         lot = F.pmod(F.xxhash64("doc_id", F.lit(draw)), F.lit(draw))
         pivots = pool.groupBy("region", lot.alias("lot")).agg(F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", F.lit(7))).alias("p"))
         pivots = written(pivots.select("region", F.col("p.doc_id").alias("y"), F.col("p.comp").alias("y_comp")), "pivots")
@@ -161,10 +163,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = pairs.join(size.toDF("x", "nx"), "x").join(size.toDF("y", "ny"), "y")
         pairs = pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * int(100 * (1 - 2 * radius))).select("x", "y")
-        close = written(_measure(pairs, zone, False, percent).where(F.col("d") <= 2 * radius + 1e-9).select("x", "y"), "close")
-        asked = close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-        sets = written(shingle_sets(docs.join(asked, "doc_id", "left_semi"), words), "sets")
-        found = written(_measure(close, sets, True, percent), "distances")
+        found = written(_measure(pairs, sets, percent), "distances")
         new = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
@@ -181,7 +180,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         live = live.withColumn("comp", F.coalesce("comp", "doc_id"))
         open_ = live.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("any")).where("c0 <> c1 and any").select("region")
         live = written(live.join(open_, "region").select("region", "doc_id", "home", "comp"), "regions")
-        draw *= 4
+        draw *= 8 if draw == 1 else 4
     out = zones.join(classes, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     if labels is None:
         return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))

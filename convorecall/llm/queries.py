@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convorecall.llm import ngram_join
+from convorecall.llm import ngram_join, packing, secrets, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -21,7 +23,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1 = f"""
 with recursive w as (select doc_id, {WORDS} ws from documents),
 s as (select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
-  else list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) end sh from w),
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end sh from w),
 e as (select doc_id, len(sh) n, unnest(sh) g from s),
 l as (select a.doc_id a, b.doc_id b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
@@ -29,5 +31,26 @@ r(doc_id, c) as (select doc_id, doc_id from s union select r.doc_id, l.b from r
 select s.doc_id, len(s.sh)::bigint n_shingles, min(r.c) component_id from s join r using (doc_id) group by s.doc_id, s.sh
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text."""
+    found = secrets.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 token ids."""
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as wavelet matrices and read back."""
+    return wavelet.read_shards(wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op3_secret_scan": op3_secret_scan,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_wavelet_output": op10_wavelet_output,
+}
 SQL = {"op1_ngram_join": OP1}
