@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convorecall.llm.components import components
-from convorecall.llm.scratch import written
+from convorecall.llm.scratch import small, written
 from convorecall.llm.textkit import Words, distinct_pairs, mix, string_column, text_slices
 
 #: Zones with a shingle in more documents than this make the shingle a common one, which comes last in the order.
@@ -109,17 +109,34 @@ def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _regions(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``region, doc_id``: documents that share a prefix shingle; regions with one member or equal members are left out."""
+    """``region, doc_id``: documents that share a prefix shingle; regions with one member or equal members are left out.
+
+    Common shingles are those of many zones, and those of many whole sets among the documents that are crowded by the
+    former; both come last in the order. Documents crowded by either get their prefix from the whole set.
+    """
     need = F.floor((100 - percent) * F.col("n") / 100) + 1  # of the prefix
     entries = reps.select("doc_id", "n", F.explode("items").alias("g"))
-    common = written(entries.groupBy("g").count().where(F.col("count") > COMMON).select("g"), "common")
-    crowded = entries.join(common, "g", "left_semi").groupBy("doc_id", "n").count().where(F.floor(F.col("n") / 4) + 1 - F.col("count") < need)
-    crowded = written(crowded.select("doc_id"), "crowded")
-    whole = shingle_sets(docs.join(crowded, "doc_id", "left_semi"), words).select("doc_id", "n", F.explode("items").alias("g"))
-    whole = whole.join(common.withColumn("last", F.lit(1)), "g", "left").withColumn("last", F.coalesce("last", F.lit(0)))
-    rank = F.expr("row_number() over (partition by doc_id order by last, g < 0, g)")  # by unsigned hash, as zones are
-    again = whole.withColumn("rank", rank).where(F.col("rank") <= need).select("g", "doc_id")
-    light = entries.join(crowded, "doc_id", "left_anti").join(common, "g", "left_anti").select("g", "doc_id")
+    shared = written(entries.groupBy("g").count().where("count > 1"), "shared")
+
+    def crowded_by(common: DataFrame) -> DataFrame:
+        per_doc = entries.join(small(common), "g", "left_semi").groupBy("doc_id", "n").count()
+        return written(per_doc.where(F.floor(F.col("n") / 4) + 1 - F.col("count") < need).select("doc_id"), "crowded")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return written(shingle_sets(docs.join(small(ids), "doc_id", "left_semi"), words).select("doc_id", "n", "items"), "whole")
+
+    common = written(shared.where(F.col("count") > COMMON).select("g"), "common")
+    first = crowded_by(common)
+    sets = whole(first)
+    more = sets.select(F.explode("items").alias("g")).groupBy("g").count().where(F.col("count") > COMMON).select("g")
+    common = written(common.unionByName(more).distinct(), "common")
+    crowded = crowded_by(common)
+    sets = sets.unionByName(whole(written(crowded.join(first, "doc_id", "left_anti"), "crowded")))
+    ranked = sets.select("doc_id", "n", F.explode("items").alias("g")).join(small(common).withColumn("late", F.lit(1)), "g", "left")
+    rank = F.expr("row_number() over (partition by doc_id order by coalesce(late, 0), g < 0, g)")  # by unsigned hash, as zones are
+    again = written(ranked.withColumn("rank", rank).where(F.col("rank") <= need).select("g", "doc_id"), "again")
+    kept = shared.where(F.col("count") <= COMMON).select("g").unionByName(again.select("g")).distinct().join(small(common), "g", "left_anti")
+    light = entries.join(small(crowded), "doc_id", "left_anti").join(small(written(kept, "kept")), "g", "left_semi").select("g", "doc_id")
     prefix = written(light.unionByName(again), "prefix")
     members = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"m{k}") for k in (1, 2)]
     region = prefix.groupBy("g").agg(F.count("*").alias("size"), *members).where("size > 1")
@@ -141,10 +158,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     radius = 1 - percent / 100
     zones = written(shingle_sets(docs, words, zone=True), "zones")
     classes = written(zones.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = zones.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    copies = written(zones.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).where("doc_id <> rep").select("doc_id"), "copies")
+    reps = zones.where("n > 0").join(small(copies), "doc_id", "left_anti")
     live = written(_regions(reps, docs, words, percent).withColumns({"home": F.lit(True), "comp": F.col("doc_id")}), "regions")
     need = written(live.select("doc_id").distinct(), "members")
-    sets = _bucketed(shingle_sets(docs.join(need, "doc_id", "left_semi"), words).select("doc_id", "n", "items"))
+    sets = _bucketed(shingle_sets(docs.join(small(need), "doc_id", "left_semi"), words).select("doc_id", "n", "items"))
     size = written(sets.select("doc_id", "n"), "sizes")
     links, labels, draw = None, None, 1
     while not live.isEmpty():

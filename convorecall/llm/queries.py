@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import ngram_join, packing, secrets, wavelet
+from convorecall.llm import language, ngram_join, packing, quality, secrets, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -37,6 +37,49 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by compression distance; remainder 2 of 4 is held out."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(_remainder(4) != 2))
+    return toxicity.score(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rules and host verdicts; a document's host is its source."""
+    return quality.judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP6 = r"""
+with d as (select row_number() over () id, doc_id, coalesce(source, '') host, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from d),
+g as (select id, unnest(range(1, len(ws) - 6)) i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) x from w where len(ws) >= 8),
+two as (select id, i, count(*) over (partition by id, x) c from g),
+rep as (select id, count(distinct i + k) n from two, unnest(range(8)) u(k) where c > 1 group by id),
+m as (select w.*, len(ws)::bigint n_words, len(array_to_string(ws, ''))::bigint word_chars,
+  len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
+  coalesce(rep.n, 0)::bigint n_repeat_words from w left join rep using (id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m),
+h as (select host, count(*) n, sum(base_failed::bigint)::double f from b group by host),
+p as (select avg(f / n) m, var_pop(f / n) v from h),
+q as (select m, case when v > 1e-12 and m * (1 - m) > v then m * (1 - m) / v - 1 else 1.0 end w from p)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and (f + m * w) / (n + w) <= 0.5 kept from b join h using (host) cross join q
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; remainder 0 of 5 is held out."""
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs.where(_remainder(5) != 0))
+    return language.predict(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 token ids."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -50,7 +93,10 @@ def op10_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_secret_scan": op3_secret_scan,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_language_id": op9_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,
 }
-SQL = {"op1_ngram_join": OP1}
+SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of ids up to which a side of a join is sent to all executors; beyond it both sides are shuffled.
+SMALL_ROWS = 2_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table of a few bigint columns, with a broadcast hint if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids

@@ -27,7 +27,7 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def corpus(seed, n=60, bases=6):
+def corpus(seed, n=40, bases=4):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
