@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import language, ngram_join, packing, quality, secrets, toxicity, wavelet
+from convorecall.llm import language, lm_scoring, ngram_join, packing, quality, secrets, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -80,6 +80,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every text; remainder 0 of 10 is held out."""
+    scored = lm_scoring.score(_documents(spark, sf_dir), _remainder(10) != 0)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 token ids."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_language_id": op9_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,

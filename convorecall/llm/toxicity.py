@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, and the bytes either saves on short windows.
 
-The dictionary of toxic text and that of ordinary text hold, besides the words both share, the words that the one kind of
-text has far more often than the other, measured on labelled documents of which near copies are left out. A text is
+The dictionary of toxic text and that of ordinary text hold, besides the words both share, the words and word beginnings that the one
+kind of text has far more often than the other, measured on labelled documents of which near copies are left out. A text is
 cut into windows of whole words; the difference of a window's compressed lengths under the two dictionaries is its
 evidence. A logistic curve, fitted to labelled documents that the dictionaries have not seen, turns the evidence of
 all windows into a probability.
@@ -54,16 +54,25 @@ def _apart(texts: list[str]) -> list[list[str]]:
     return out
 
 
+def _stems(words: list[str]) -> set[str]:
+    """Distinct words and their beginnings of four to six letters."""
+    own = set(words)
+    return own | {w[:n] for w in own for n in (4, 5, 6) if len(w) > n}
+
+
 def _marks(a: Counter, n: int, b: Counter, m: int) -> list[str]:
-    """Words much more frequent among the n texts counted in a than among the m in b."""
+    """Words and beginnings much more frequent among the n texts counted in a than among the m in b; none contains another."""
     scored = []
     for word, c in a.items():
         p, q = c / n, (b[word] + 0.5) / (m + 1)
-        if c >= 3 and p > q:
-            scored.append(((p - q) / np.sqrt(q * (1 - q) / n + 1e-9), p, word))
+        if c >= 3 and p >= 0.02 and p > q:
+            scored.append(((p - q) / np.sqrt(q * (1 - q) / n + 1e-9), len(word), word))
     scored.sort(reverse=True)
-    strong = [w for z, p, w in scored if z > 5 and p >= 0.08]
-    return (strong if len(strong) >= 5 else [w for z, _, w in scored if z > 3][:20])[:64]
+    kept: list[str] = []
+    for z, _, word in scored:
+        if z > 5 and len(word) >= 3 and len(kept) < 48 and not any(word in k or k in word for k in kept):
+            kept.append(word)
+    return kept
 
 
 class Model:
@@ -120,10 +129,11 @@ def train(toxic: list[str], ordinary: list[str], prior: float | None = None) ->
     words = []
     for texts in (toxic, ordinary):
         kept = _apart([t for i, t in enumerate(texts) if i % 3])
-        words.append((Counter(w for t in kept for w in set(t)), max(len(kept), 1)))
+        words.append((Counter(w for t in kept for w in _stems(t)), max(len(kept), 1)))
     (a, n), (b, m) = words
     own = [_marks(a, n, b, m), _marks(b, m, a, n)]
-    common = [w for w, _ in (a + b).most_common(400) if w not in own[0] and w not in own[1]][:300]
+    marks = own[0] + own[1]
+    common = [w for w, _ in (a + b).most_common(600) if not any(k in w for k in marks)][:300]
     head = [(" ".join(x) + " ").encode() for x in own]
     size = max(max(map(len, head)), 16)
     tail = (" ".join(common) + " ").encode()
