@@ -23,7 +23,8 @@ from convorecall.llm.textkit import string_column
 
 #: Labelled documents of either kind that training takes at most, in the order of a hash of their ids.
 SAMPLE = 1500
-WINDOW = 64
+WINDOW = 32
+SPAN = (-6, 8)  # differences beyond count as these
 THRESHOLD = 0.3
 _CUT = re.compile(r"[.,;:!?\"()\[\]]+")
 
@@ -65,12 +66,12 @@ def _marks(a: Counter, n: int, b: Counter, m: int) -> list[str]:
     scored = []
     for word, c in a.items():
         p, q = c / n, (b[word] + 0.5) / (m + 1)
-        if c >= 3 and p >= 0.02 and p > q:
+        if c >= 4 and p >= 0.015 and p > q:
             scored.append(((p - q) / np.sqrt(q * (1 - q) / n + 1e-9), len(word), word))
     scored.sort(reverse=True)
     kept: list[str] = []
     for z, _, word in scored:
-        if z > 5 and len(word) >= 3 and len(kept) < 48 and not any(word in k or k in word for k in kept):
+        if z > 15 and len(word) >= 3 and len(kept) < 48 and not any(word in k or k in word for k in kept):
             kept.append(word)
     return kept
 
@@ -80,26 +81,31 @@ class Model:
 
     def __init__(self, dictionaries: tuple[bytes, bytes], weights: np.ndarray):
         self.dictionaries, self.weights = dictionaries, weights
+        self.ratios = np.zeros(SPAN[1] - SPAN[0] + 1)
         self._pair: list | None = None
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "weights": self.weights, "_pair": None}
+        return self.__dict__ | {"_pair": None}
 
-    def evidence(self, text: str) -> np.ndarray:
-        """Largest difference, mean of the three largest, and windows of clear difference (log)."""
+    def differences(self, text: str) -> np.ndarray:
+        """Of each window: bytes under the ordinary dictionary less bytes under the toxic one, from 0 for the least."""
         if self._pair is None:
-            how = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_DFAST, min_match=4, window_log=14, hash_log=12, chain_log=12, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=14, hash_log=12, chain_log=12, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._pair = []
             for raw in self.dictionaries:
                 d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=how)
                 self._pair.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress)
         toxic, ordinary = self._pair
-        d = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in _windows(text)), np.float64)
-        if not len(d):
+        d = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in _windows(text)), np.int64)
+        return np.clip(d, *SPAN) - SPAN[0]
+
+    def evidence(self, text: str) -> np.ndarray:
+        """Log-likelihood ratios of the windows' differences: sum, mean and sum of the three largest."""
+        ratio = self.ratios[self.differences(text)]
+        if not len(ratio):
             return np.zeros(3)
-        top = np.sort(d)[-3:]
-        return np.array([top[-1] / 5, top.clip(0).sum() / 15, np.log1p((d >= 4).sum())])
+        return np.array([ratio.sum() / 10, ratio.mean() * 10, np.sort(ratio)[-3:].sum() / 5])
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         z = evidence @ self.weights[:-1] + self.weights[-1]
@@ -141,6 +147,11 @@ def train(toxic: list[str], ordinary: list[str], prior: float | None = None) ->
     fit = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
     if not fit:
         return model
+    seen = np.ones((2, len(model.ratios)))
+    for text, k in fit:
+        seen[k] += np.bincount(model.differences(text), minlength=len(model.ratios))
+    seen /= seen.sum(1, keepdims=True)
+    model.ratios = np.log(seen[1] / seen[0])
     x, y = np.array([model.evidence(t) for t, _ in fit]), np.array([k for _, k in fit], float)
     model.weights = _curve(x, y)
     if prior and 0 < y.mean() < 1:
