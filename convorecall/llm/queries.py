@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import language, lm_scoring, ngram_join, packing, quality, secrets, toxicity, wavelet
+from convorecall.llm import language, lm_scoring, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -37,6 +37,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every text when repeated 100-byte strings are removed."""
+    return suffix_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
+
+
 def _remainder(n: int):
     """crc32 of the doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
@@ -99,6 +104,7 @@ def op10_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_secret_scan": op3_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
