@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import language, lm_scoring, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
+from convorecall.llm import decontaminate, language, lm_scoring, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -31,6 +31,11 @@ r(doc_id, c) as (select doc_id, doc_id from s union select r.doc_id, l.b from r
 select s.doc_id, len(s.sh)::bigint n_shingles, min(r.c) component_id from s join r using (doc_id) group by s.doc_id, s.sh
 """
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: weighted five-word shingles, similarity 0.8 or more."""
+    return decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text."""
     found = secrets.scan(_documents(spark, sf_dir))
@@ -103,6 +108,7 @@ def op10_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,

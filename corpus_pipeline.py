@@ -1,11 +1,62 @@
-"""Corpus preparation as stages; each stage's result is written and read again as the next one's documents."""
+"""Corpus preparation as stages; each stage's result is written and read again as the next one's documents.
+
+Language ID drops the documents that it rejects (no letters, or no language of which it is sure enough), the n-gram Jaccard join
+keeps the smallest doc_id of each class of near duplicates, decontamination drops the documents that contain a
+benchmark item, the secret scan replaces secrets in the texts, and packing returns the pieces of sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from convorecall.llm import decontaminate, language, ngram_join, packing, secrets
+from convorecall.llm.scratch import small, written
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(small(written(gone.select("doc_id"), "gone")), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known."""
+    return _without(docs, language.predict(docs, language.fit(docs)).where("rejected"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class."""
+    return _without(docs, ngram_join.jaccard_classes(docs).where("doc_id <> component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced."""
+    return secrets.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Language ID and tokenization are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
