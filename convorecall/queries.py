@@ -1,4 +1,587 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries over the given tables, and the same in DuckDB SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Messages are the events of a user, memories the documents that have an embedding; the searches' queries are the
+memories whose key is divisible by 20, against all memories.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from convorecall.functions import text as T
+from convorecall.functions import times
+from convorecall.operators import curate, embed, evaluate, search
+from convorecall.operators import sessions as S
+from convorecall.plans import recall as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query by its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("(x)"))).otherwise(F.col("event_type"))
+    return e.select(
+        key.alias("conversation_key"),
+        key.alias("conversation_name"),
+        F.when(F.col("user_id") % 3 == 0, "group").otherwise("private").alias("conversation_type"),
+        seq.alias("seq"),
+        name.alias("sender"),
+        name.alias("sender_name"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat("event_type", F.lit(" "), "props").alias("content"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("msg_type"),
+    )
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    return c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conversation_key"), F.col("turn").cast("bigint").alias("seq"), F.col("role").alias("sender_name"), F.col("text").alias("content"), F.lit(0).alias("msg_type"))
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    n = e.agg(F.count("*").alias("n"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    own = d.join(e, d.doc_id == e.vec_id).crossJoin(F.broadcast(n))  # one row
+    other = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("context_embedding"))
+    m = own.join(other, (F.col("vec_id") * 7 + 3) % F.col("n") == F.col("other"))
+    return m.select(
+        F.col("doc_id").alias("memory_key"),
+        F.col("source").alias("conversation_name"),
+        F.array(F.col("lang"), F.concat(F.lit("L"), F.col("label").cast("string"))).alias("participants"),
+        (1704067200 + F.col("doc_id") * 3600).cast("double").alias("start_timestamp"),
+        F.col("text").alias("content_text"),
+        F.col("embedding").alias("content_embedding"),
+        "context_embedding",
+    )
+
+
+def _asked(memories: DataFrame, filtered: bool = False) -> DataFrame:
+    q = memories.where("memory_key % 20 = 0")
+    cols = [F.col("memory_key").alias("query_id"), F.col("content_text").alias("query_text"), F.col("content_embedding").alias("content_vec"), F.col("context_embedding").alias("context_vec")]
+    if filtered:
+        cols += [(F.col("start_timestamp") - 720000).alias("t_start"), (F.col("start_timestamp") + 720000).alias("t_end"), F.slice("participants", 1, 1).alias("participants")]
+    return q.select(*cols)
+
+
+MESSAGES = """messages as (
+  select concat('u', user_id) conversation_key, case when user_id % 3 = 0 then 'group' else 'private' end conversation_type,
+    row_number() over (partition by user_id order by ts, event_id) seq,
+    case when event_id % 2 = 0 then concat(event_type, '(x)') else event_type end sender_name,
+    ts, epoch_us(ts) us, concat(event_type, ' ', props) content, case when event_type = 'error' then 1 else 0 end msg_type
+  from events)"""
+
+
+def _sessions_sql(gap: int) -> str:
+    return f"""{MESSAGES},
+kept as (select *, row_number() over (partition by conversation_key order by seq) rn from messages where msg_type = 0 and trim(content) <> ''),
+walk as (
+  select conversation_key, rn, us, 1 n, 1 batch from kept where rn = 1
+  union all
+  select k.conversation_key, k.rn, k.us,
+    case when (k.us - w.us > {gap * 1000000} or w.n >= 20) and w.n >= 3 then 1 else w.n + 1 end,
+    case when (k.us - w.us > {gap * 1000000} or w.n >= 20) and w.n >= 3 then w.batch + 1 else w.batch end
+  from walk w join kept k on k.conversation_key = w.conversation_key and k.rn = w.rn + 1),
+main as (
+  select k.conversation_key, k.conversation_type, w.batch, count(*) n, min_by(k.us, k.rn) start_us, max_by(k.us, k.rn) end_us,
+    list_sort(list_distinct(list(k.sender_name))) participants,
+    list({{'us': k.us, 'name': k.sender_name, 'content': k.content}} order by k.rn) messages
+  from kept k join walk w on w.conversation_key = k.conversation_key and w.rn = k.rn group by all having count(*) >= 3),
+nexts as (select *, lead(start_us) over o next_us, lead(messages) over o next_messages from main window o as (partition by conversation_key order by batch)),
+lapped as (
+  select conversation_key, conversation_type, batch, messages[greatest(len(messages) - 4, 1):] || next_messages[:5] messages
+  from nexts where next_us - end_us <= 7200000000),
+sessions as (
+  select conversation_key, batch, 'main' session_type, n, start_us, end_us, participants, messages from main
+  union all
+  select conversation_key, batch, 'overlap', len(messages), messages[1].us, messages[-1].us,
+    list_sort(list_distinct(list_transform(messages, lambda m: m.name))), messages from lapped where len(messages) >= 3)"""
+
+
+def _session_columns(df: DataFrame) -> DataFrame:
+    return df.select("conversation_key", F.col("batch").cast("bigint").alias("batch"), "session_type", F.col("message_count").cast("bigint").alias("n"), F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), F.array_join("participants", ", ").alias("participants"), "session_id")
+
+
+_SESSION_OUT = """
+select conversation_key, batch::bigint batch, session_type, n::bigint n, start_us, end_us, array_to_string(participants, ', ') participants,
+  md5(concat(session_type, '_', start_us // 1000000, '.0_', end_us // 1000000, '.0')) session_id from sessions"""
+
+
+@query(f"with recursive {_sessions_sql(1800)} {_SESSION_OUT}")
+def sessions(spark, sf_dir):
+    """Main and overlap sessions at the usual gap."""
+    return _session_columns(S.sessions(_messages(spark, sf_dir)))
+
+
+@query(f"with recursive {_sessions_sql(21600)} {_SESSION_OUT}")
+def sessions_six_hours(spark, sf_dir):
+    """Sessions at a gap of six hours, which has longer runs."""
+    return _session_columns(S.sessions(_messages(spark, sf_dir), gap_seconds=21600))
+
+
+@query(f"""with recursive {_sessions_sql(21600)},
+t as (select *, make_timestamp(start_us) a from sessions)
+select conversation_key, batch::bigint batch, session_type,
+  md5(array_to_string(list_transform(messages, lambda m: concat(trim(regexp_extract(m.name, '^[^(（]*')), ': ', case when len(m.content) > 200 then concat(m.content[:200], '...') else m.content end)), chr(10))) content_md5,
+  concat(year(a), '年', month(a), '月', day(a), '日', case when hour(a) < 12 then '上午' when hour(a) < 18 then '下午' else '晚上' end, ' 参与者：', array_to_string(participants, ', ')) context_text,
+  concat(year(a), '年', month(a), '月', day(a), '日 ', ['周一','周二','周三','周四','周五','周六','周日'][isodow(a)], ' ', case when hour(a) < 12 then '上午' when hour(a) < 18 then '下午' else '晚上' end, hour(a), ':', lpad(minute(a)::varchar, 2, '0')) label,
+  case when d < 1 then '不到1分钟' when d < 60 then concat(d, '分钟') when d % 60 > 0 then concat(d // 60, '小时', d % 60, '分钟') else concat(d // 60, '小时') end duration,
+  year(a)::int "year", month(a)::int "month"
+from (select *, (end_us // 1000000 - start_us // 1000000) // 60 d from t)""")
+def enriched_sessions(spark, sf_dir):
+    """Texts and labels of sessions."""
+    s = S.enriched(S.sessions(_messages(spark, sf_dir), gap_seconds=21600))
+    return s.select("conversation_key", F.col("batch").cast("bigint").alias("batch"), "session_type", F.md5("content_text").alias("content_md5"), "context_text", times.long_label(F.col("start_ts")).alias("label"), times.duration_label(F.col("start_ts"), F.col("end_ts")).alias("duration"), F.year("start_ts").alias("year"), F.month("start_ts").alias("month"))
+
+
+@query(f"""with recursive {_sessions_sql(21600)}, m as (select *, list_transform(messages, lambda x: x.content) c from main)
+select conversation_key, batch::bigint batch, n::bigint n,
+  md5(array_to_string(lag(c) over o, '|')) context_before, md5(array_to_string(lead(c) over o, '|')) context_after
+from m window o as (partition by conversation_key order by start_us, batch)""")
+def neighbour_sessions(spark, sf_dir):
+    """Main sessions with what came before and after."""
+    m = S.main_sessions(_messages(spark, sf_dir), gap_seconds=21600)
+    m = m.withColumn("content_text", F.array_join(F.transform("messages", lambda x: x["content"]), "|")).withColumn("session_id", F.lpad(F.col("batch").cast("string"), 12, "0"))
+    m = S.with_neighbours(m)
+    return m.select("conversation_key", F.col("batch").cast("bigint").alias("batch"), F.col("message_count").cast("bigint").alias("n"), F.md5("context_before").alias("context_before"), F.md5("context_after").alias("context_after"))
+
+
+_BATCHES = """with recursive t as (select concat('c', conv_id) conversation_key, turn seq, floor(len(text) * 1.5)::bigint tokens, row_number() over (partition by conv_id order by turn) rn from conversations),
+walk as (
+  select conversation_key, seq, rn, tokens, tokens total, 0 batch from t where rn = 1
+  union all
+  select t.conversation_key, t.seq, t.rn, t.tokens, case when w.total + t.tokens > 2000 then t.tokens else w.total + t.tokens end,
+    case when w.total + t.tokens > 2000 then w.batch + 1 else w.batch end
+  from walk w join t on t.conversation_key = w.conversation_key and t.rn = w.rn + 1)"""
+
+
+@query(f"{_BATCHES} select conversation_key, seq, tokens, batch from walk")
+def token_batches(spark, sf_dir):
+    """Turns in batches of at most 2,000 estimated tokens."""
+    return embed.token_batches(_chats(spark, sf_dir), "conversation_key", "seq", "content", 2000)
+
+
+@query(f"{_BATCHES}, s as (select conversation_key, batch, count(*) n from walk group by all) select count(*) batches, min(n) least, max(n) most, round(avg(n), 6) mean from s")
+def token_batch_stats(spark, sf_dir):
+    """Rows of the batches."""
+    s = embed.batch_stats(embed.token_batches(_chats(spark, sf_dir), "conversation_key", "seq", "content", 2000), "conversation_key")
+    return s.withColumn("mean", F.round("mean", 6))
+
+
+@query("select concat('c', conv_id) conversation_key, turn seq, ((row_number() over (partition by conv_id order by turn) - 1) // 3)::bigint batch from conversations")
+def fixed_batches(spark, sf_dir):
+    """Turns in batches of three."""
+    return embed.fixed_batches(_chats(spark, sf_dir), "conversation_key", "seq", 3).select("conversation_key", "seq", "batch")
+
+
+# Search terms are compared as runs of letters and digits; texts here hold no Han, so Han parts of a request find nothing.
+MEMORIES = """memories as (
+  select d.doc_id memory_key, d.source conversation_name, [d.lang, concat('L', e.label)] participants, (1704067200 + d.doc_id * 3600)::double start_timestamp,
+    d.text content_text, e.embedding::double[] content_embedding, x.embedding::double[] context_embedding
+  from documents d join embeddings e on d.doc_id = e.vec_id join embeddings x on x.vec_id = (e.vec_id * 7 + 3) % (select count(*) from embeddings)),
+queries as (
+  select memory_key query_id, content_text query_text, content_embedding content_vec, context_embedding context_vec,
+    start_timestamp - 720000 t_start, start_timestamp + 720000 t_end, participants[:1] wanted from memories where memory_key % 20 = 0)"""
+INDEX = MEMORIES + r""",
+terms as (select memory_key, regexp_extract_all(lower(coalesce(content_text, '')), '[\p{L}\p{N}]+') terms from memories),
+postings as (select memory_key, term, len(terms) dl, count(*) tf from (select memory_key, terms, unnest(terms) term from terms) group by all),
+sizes as (select count(*) n, avg(len(terms)) avgdl from terms),
+raw as (select term, count(*) df, ln((select n from sizes) - count(*) + 0.5) - ln(count(*) + 0.5) r from postings group by term),
+stats as (select term, df, case when r < 0 then 0.25 * (select avg(r) from raw) else r end idf from raw)"""
+
+
+def _bm25_sql(text: str = "query_text", source: str = "queries") -> str:
+    return INDEX + rf""",
+asked as (select query_id, term, count(*) qtf from (select query_id, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')) term from {source}) group by all),
+hits as (select query_id, memory_key, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avgdl from sizes)))) bm25
+  from postings join asked using (term) join stats using (term) group by all),
+words as (select query_id, memory_key, bm25, bm25 / case when max(bm25) over (partition by query_id) > 0 then max(bm25) over (partition by query_id) else 1 end bm25_norm from hits)"""
+
+
+COSINE = "list_dot_product({a}, {b}) / ((sqrt(list_dot_product({a}, {a})) + 1e-8) * (sqrt(list_dot_product({b}, {b})) + 1e-8))"
+_CONTENT, _CONTEXT = COSINE.format(a="content_embedding", b="content_vec"), COSINE.format(a="context_embedding", b="context_vec")
+
+
+def _scored_sql(context: bool = True, where: str = "true", source: str = "queries") -> str:
+    vector = f"0.85 * {_CONTENT} + 0.15 * {_CONTEXT}" if context else _CONTENT
+    return f"scored as (select query_id, memory_key, {_CONTENT} content_score, {vector} vector from memories, {source} where {where})"
+
+
+def _hybrid_sql(context: bool = True, where: str = "true", k: int = 5, source: str = "queries", text: str = "query_text") -> str:
+    return f"""{_bm25_sql(text, source)}, {_scored_sql(context, where, source)},
+mixed as (select query_id, memory_key, coalesce(bm25_norm, 0) bm25_norm, content_score, vector, 0.5 * coalesce(bm25_norm, 0) + 0.5 * vector score
+  from scored left join words using (query_id, memory_key)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, memory_key) "rank" from mixed),
+best as (select * from ranked where "rank" <= {k})"""
+
+
+_RANGE = "start_timestamp >= t_start and start_timestamp <= t_end and list_has_any(participants, wanted)"
+_HYBRID_OUT = 'select query_id, "rank", memory_key, round(score, 6) score, round(bm25_norm, 6) bm25_norm, round(vector, 6) vector from best'
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(f"with {INDEX} select term, count(*) df, sum(tf)::bigint tf, round(any_value(idf), 6) idf from postings join stats using (term) group by term")
+def term_statistics(spark, sf_dir):
+    """Document frequency, occurrences and idf of every term."""
+    index = search.build_index(_memories(spark, sf_dir))
+    sums = index["postings"].groupBy("term").agg(F.sum("tf").alias("tf"))
+    return index["term_stats"].join(sums, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+
+
+@query(f"with {INDEX} select n, round(avgdl, 6) avgdl, round((select avg(r) from raw), 6) avg_idf from sizes")
+def corpus_statistics(spark, sf_dir):
+    """Number and mean length of memories, and mean idf."""
+    return _rounded(search.build_index(_memories(spark, sf_dir))["corpus_stats"], "avgdl", "avg_idf")
+
+
+@query(f"with {_bm25_sql()} select query_id, memory_key, round(bm25, 6) bm25, round(bm25_norm, 6) bm25_norm from words")
+def bm25_scores(spark, sf_dir):
+    """Keyword scores of all hits."""
+    m = _memories(spark, sf_dir)
+    return _rounded(search.bm25(search.build_index(m), _asked(m)), "bm25", "bm25_norm")
+
+
+@query(f"""with {MEMORIES}, {_scored_sql()}, r as (select *, row_number() over (partition by query_id order by vector desc, memory_key) "rank" from scored)
+select query_id, "rank", memory_key, round(content_score, 6) content_score, round(vector, 6) vector from r where "rank" <= 5""")
+def vector_search(spark, sf_dir):
+    """Best five by both vectors."""
+    m = _memories(spark, sf_dir)
+    return _rounded(search.vector_search(m, _asked(m)).select("query_id", "rank", "memory_key", "content_score", "vector"), "content_score", "vector")
+
+
+def _hybrid(m: DataFrame, asked: DataFrame, method: str = "pruned") -> DataFrame:
+    found = search.hybrid_search(m, search.build_index(m), asked, 5, method=method)
+    return _rounded(found.drop("content_score"), "score", "bm25_norm", "vector")
+
+
+@query(f"with {_hybrid_sql()} {_HYBRID_OUT}")
+def hybrid_search(spark, sf_dir):
+    """Best five by keywords and both vectors."""
+    m = _memories(spark, sf_dir)
+    return _hybrid(m, _asked(m))
+
+
+@query(f"with {_hybrid_sql()} {_HYBRID_OUT}")
+def hybrid_search_dense(spark, sf_dir):
+    """The same with every pair scored."""
+    m = _memories(spark, sf_dir)
+    return _hybrid(m, _asked(m), "dense")
+
+
+@query(f"with {_hybrid_sql(where=_RANGE)} {_HYBRID_OUT}")
+def hybrid_search_filtered(spark, sf_dir):
+    """Best five within a time range and with a participant; keyword scores are still relative to all memories."""
+    m = _memories(spark, sf_dir)
+    return _hybrid(m, _asked(m, filtered=True))
+
+
+def _recall_sql(strategy: str, **how) -> str:
+    reasons = f"""list_filter([case when bm25_norm > 0.5 then '关键词匹配' end, case when vector > 0.7 then '语义相似' end,
+      case when strategy = 'people' then '相关人物' when strategy = 'temporal' then '时间相近' when strategy = 'semantic' and bm25_norm <= 0.5 and vector <= 0.7 then '主题相关' end], lambda x: x is not null)"""
+    return f"""{_hybrid_sql(**how)},
+kinds as (select query_id, {strategy} strategy from {how.get("source", "queries")}),
+found as (select b.*, strategy, conversation_name, participants, start_timestamp::bigint "timestamp", md5(content_text) content_md5,
+  md5(concat(conversation_name, '_', start_timestamp::bigint, '.0'))[:16] memory_id,
+  coalesce(nullif(array_to_string({reasons}, ' + '), ''), '综合匹配') reason
+  from best b join memories using (memory_key) join kinds using (query_id) where score >= 0.3)"""
+
+
+_RECALL_OUT = """select query_id, "rank", strategy, memory_key, memory_id, content_md5, round(score, 6) relevance_score, reason, "timestamp", conversation_name, array_to_string(participants, ', ') participants from found"""
+
+
+def _recall_columns(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "rank", "strategy", "memory_key", "memory_id", F.md5("content").alias("content_md5"), F.round("relevance_score", 6).alias("relevance_score"), F.regexp_extract("recall_reason", r"^(.*) \(", 1).alias("reason"), "timestamp", "conversation_name", F.array_join("participants", ", ").alias("participants"))
+
+
+_AUTO = "case when regexp_matches(lower(query_text), '谁|who|人') then 'people' when regexp_matches(lower(query_text), '什么时候|when|之前|之后') then 'temporal' else 'semantic' end"
+
+
+def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _memories(spark, sf_dir)
+    return R.recall(m, search.build_index(m), _asked(m).drop("context_vec").withColumn("recall_type", F.lit("auto")), method="pruned")
+
+
+@query(f"with {_recall_sql(_AUTO, context=False)} {_RECALL_OUT}")
+def recall(spark, sf_dir):
+    """Recall with the strategy taken from the context."""
+    return _recall_columns(_recalled(spark, sf_dir))
+
+
+@query(f"""with {_recall_sql(_AUTO, context=False)},
+p as (select query_id, list_sort(list(distinct x)) people from (select query_id, unnest(participants) x from found) group by query_id)
+select query_id, array_to_string(any_value(people), ', ') people, array_to_string(list_sort(list(distinct conversation_name))[:5], ', ') topics,
+  case when min("timestamp") // 86400 = max("timestamp") // 86400 then concat('都在 ', strftime(make_timestamp(min("timestamp") * 1000000), '%Y-%m-%d'))
+    else concat('时间跨度：', strftime(make_timestamp(min("timestamp") * 1000000), '%Y-%m-%d'), ' 至 ', strftime(make_timestamp(max("timestamp") * 1000000), '%Y-%m-%d')) end time_context,
+  count(*) total_count from found join p using (query_id) group by query_id""")
+def recall_associations(spark, sf_dir):
+    """People, conversations and times of what was recalled."""
+    a = R.associations(_recalled(spark, sf_dir))
+    return a.select("query_id", F.array_join("people", ", ").alias("people"), F.array_join("topics", ", ").alias("topics"), "time_context", "total_count")
+
+
+@query(f"with {_recall_sql(repr('semantic'), context=False, text="conversation_name", source='(select q.*, conversation_name from queries q join memories on memory_key = query_id) q')} {_RECALL_OUT}")
+def recall_by_topic(spark, sf_dir):
+    """Recall by topic, here the name of a conversation."""
+    m = _memories(spark, sf_dir)
+    asked = m.where("memory_key % 20 = 0").select(F.col("memory_key").alias("query_id"), F.col("conversation_name").alias("topic"), F.col("content_embedding").alias("content_vec"))
+    return _recall_columns(R.by_topic(m, search.build_index(m), asked, method="pruned"))
+
+
+_PERSON = "(select q.*, wanted[1] person from queries q) q"
+
+
+@query(f"with {_recall_sql(repr('people'), context=False, text="person || ' ' || person", source=_PERSON)} {_RECALL_OUT} where list_contains(participants, (select wanted[1] from queries q where q.query_id = found.query_id))")
+def recall_by_people(spark, sf_dir):
+    """Recall by person, without mere mentions."""
+    m = _memories(spark, sf_dir)
+    asked = m.where("memory_key % 20 = 0").select(F.col("memory_key").alias("query_id"), F.col("participants")[0].alias("person"), F.col("content_embedding").alias("content_vec"))
+    return _recall_columns(R.by_people(m, search.build_index(m), asked, include_mentions=False, method="pruned"))
+
+
+_AT = "(select q.*, (t_start + 720000)::bigint reference from queries q) q"
+
+
+@query(f"with {_recall_sql(repr('temporal'), context=False, text="strftime(make_timestamp(reference * 1000000), '%Y-%m-%d')", where='start_timestamp >= reference - 259200 and start_timestamp <= reference', source=_AT)} {_RECALL_OUT}")
+def recall_by_time(spark, sf_dir):
+    """Recall of the three days before a time."""
+    m = _memories(spark, sf_dir)
+    asked = m.where("memory_key % 20 = 0").select(F.col("memory_key").alias("query_id"), F.col("start_timestamp").cast("bigint").alias("reference_time"), F.lit("before").alias("direction"), F.lit(3).alias("time_window"), F.col("content_embedding").alias("content_vec"))
+    return _recall_columns(R.by_time(m, search.build_index(m), asked, method="pruned"))
+
+
+@query(f"""with {_hybrid_sql(context=False)} select query_id, "rank", memory_key, md5(concat(conversation_name, '_', start_timestamp::bigint, '.0'))[:16] memory_id,
+round(score, 6) relevance_score, '关键词匹配' recall_reason, start_timestamp::bigint "timestamp", conversation_name from best join memories using (memory_key)""")
+def simple_search(spark, sf_dir):
+    """Hybrid search without a threshold."""
+    m = _memories(spark, sf_dir)
+    return _rounded(R.simple_search(m, search.build_index(m), _asked(m).drop("context_vec"), method="pruned").drop("participants"), "relevance_score")
+
+
+_TOP = f"""with {_bm25_sql()}, {_scored_sql()},
+mixed as (select query_id, memory_key, coalesce(bm25_norm, 0) bm25_norm, vector from scored left join words using (query_id, memory_key)),
+grid as (select *, w * bm25_norm + (1 - w) * vector score from mixed, (values (0.3::double), (0.5::double), (0.7::double), (0.9::double)) t(w)),
+ranked as (select *, row_number() over (partition by query_id, w order by score desc, memory_key) "rank" from grid),
+top as materialized (select * from ranked where "rank" <= 5)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _memories(spark, sf_dir)
+    return evaluate.weight_grid(m, search.build_index(m), _asked(m), evaluate.weight_table(spark), 5, "pruned")
+
+
+@query(f'{_TOP} select w bm25_weight, query_id, "rank", memory_key, round(score, 6) score from top')
+def weight_grid(spark, sf_dir):
+    """Best five under each weight."""
+    return _rounded(_grid(spark, sf_dir).select("bm25_weight", "query_id", "rank", "memory_key", "score"), "score")
+
+
+_DIFF = _TOP + """, d as (select w, query_id, max(score) filter ("rank" = 1) - coalesce(max(score) filter ("rank" = 3), 0) diff from top group by all),
+s as (select w bm25_weight, avg(diff) avg_diff, min(diff) min_diff, max(diff) max_diff, count(*) n_queries from d group by w)"""
+
+
+@query(f"{_DIFF} select bm25_weight, round(avg_diff, 6) avg_diff, round(min_diff, 6) min_diff, round(max_diff, 6) max_diff, n_queries from s")
+def score_separation(spark, sf_dir):
+    """How far first hits stand out under each weight."""
+    return _rounded(evaluate.separation(_grid(spark, sf_dir)), "avg_diff", "min_diff", "max_diff")
+
+
+@query(f"{_DIFF} select bm25_weight, round(avg_diff, 6) avg_diff from s order by s.avg_diff desc, bm25_weight limit 1")
+def best_weight(spark, sf_dir):
+    """The weight under which first hits stand out most."""
+    return _rounded(evaluate.best_weight(evaluate.separation(_grid(spark, sf_dir)), "avg_diff"), "avg_diff")
+
+
+_JUDGED = """judged as (select doc_id, case when doc_id % 7 = 0 then 5 else greatest(10 * quality - 5 * toxic, 0) end::double relevance from labels),
+rel as (select w, query_id, "rank", coalesce(relevance, 0) relevance from top left join judged on memory_key = doc_id where "rank" <= 3),
+pq as (select w, query_id, sum(relevance) total, count(*) n, max(relevance) filter ("rank" = 1) f from rel group by all)"""
+
+
+def _judged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _table(spark, sf_dir, "labels")
+    reply = F.when(F.col("doc_id") % 7 == 0, "no json").otherwise(F.concat(F.lit('{"relevance_score": '), F.greatest(10 * F.col("quality") - 5 * F.col("toxic"), F.lit(0)).cast("string"), F.lit(', "reasoning": "r"}')))
+    replies = q.select(F.col("doc_id").alias("memory_key"), reply.alias("reply"))
+    return _grid(spark, sf_dir).join(replies, "memory_key", "left").withColumn("relevance", T.judged(F.col("reply")))
+
+
+@query(f"{_TOP}, {_JUDGED} select w bm25_weight, round(sum(total) / sum(n), 6) avg_all, round(avg(f), 6) avg_top1, round(avg(total / n), 6) avg_top3, sum(n)::bigint n from pq group by w")
+def judged_relevance(spark, sf_dir):
+    """Judges' scores of the hits under each weight; a hit without a reply scores 0."""
+    return _rounded(evaluate.relevance(_judged_hits(spark, sf_dir)), "avg_all", "avg_top1", "avg_top3")
+
+
+@query(f"{_TOP}, {_JUDGED} select w bm25_weight, round(sum(total) / sum(n), 6) composite from (select w, query_id % 40 = 0 part, sum(f) total, count(*) n from pq group by all) group by w")
+def composite_score(spark, sf_dir):
+    """Mean judged score of first hits over two query sets."""
+    hits = _judged_hits(spark, sf_dir).where("rank = 1")
+    sets = hits.groupBy("bm25_weight", (F.col("query_id") % 40 == 0).alias("part")).agg(F.sum("relevance").alias("total"), F.count("*").alias("n"))
+    return _rounded(evaluate.composite(sets), "composite")
+
+
+@query(f'{_TOP} select query_id, max(memory_key) filter (w = 0.3) w03, max(memory_key) filter (w = 0.5) w05, max(memory_key) filter (w = 0.7) w07, max(memory_key) filter (w = 0.9) w09 from top where "rank" = 1 group by query_id')
+def top1_comparison(spark, sf_dir):
+    """First hits under all weights."""
+    return evaluate.top1_table(_grid(spark, sf_dir)).toDF("query_id", "w03", "w05", "w07", "w09")
+
+
+@query(f"""with {_hybrid_sql(context=False)}, e as (select query_id, list_distinct(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}]+')) expected from queries),
+f as (select query_id, score, lower(content_text) c from best join memories using (memory_key) where "rank" = 1)
+select round(avg((score is not null)::int), 6) found_rate, round(avg(coalesce(score, 0)), 6) mean_relevance,
+  round(avg(coalesce(len(list_filter(expected, lambda w: contains(c, w)))::double / len(expected), 0)), 6) mean_match, count(*) n_queries from e left join f using (query_id)""")
+def keyword_quality(spark, sf_dir):
+    """Share of a query's words in its first hit."""
+    m = _memories(spark, sf_dir)
+    q = _asked(m).drop("context_vec")
+    hits = search.hybrid_search(m, search.build_index(m), q, 5, method="pruned").join(m.select("memory_key", F.col("content_text").alias("content")), "memory_key")
+    asked = q.select("query_id", F.array_distinct(T.tokens(F.col("query_text"))).alias("expected"))
+    return _rounded(evaluate.keyword_quality(hits, asked), "found_rate", "mean_relevance", "mean_match")
+
+
+_WORDS = r"""with w as (select concat('c', conv_id) conversation_key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) "text" from conversations where len(text) >= 2),
+c as (select conversation_key, "text", count(*) n from w where len("text") > 1 group by all),
+r as (select *, row_number() over (partition by conversation_key order by n desc, "text") r from c),
+f as (select *, row_number() over (partition by conversation_key order by r) r2 from r where r <= 50)"""
+
+
+@query(f'{_WORDS} select conversation_key, "text", n from f where r2 <= 10')
+def frequent_words(spark, sf_dir):
+    """Most frequent words of conversations."""
+    return evaluate.frequent_words(_chats(spark, sf_dir))
+
+
+@query("""with p as (select concat('c', conv_id) conversation_key, unnest(list_transform(range(1, len(text)), lambda i: text[i:i + 1])) "text" from conversations where len(text) >= 2),
+c as (select conversation_key, "text", count(*) n from p where len(regexp_replace("text", '\\s', '', 'g')) > 0 group by all),
+r as (select *, row_number() over (partition by conversation_key order by n desc, "text") r from c),
+f as (select *, row_number() over (partition by conversation_key order by r) r2 from r where r <= 30 and n >= 2)
+select conversation_key, "text", n from f where r2 <= 10""")
+def frequent_pairs(spark, sf_dir):
+    """Most frequent pairs of characters."""
+    return evaluate.frequent_pairs(_chats(spark, sf_dir))
+
+
+@query()
+def generated_queries(spark, sf_dir):
+    """Keyword, semantic and mixed queries made from conversations."""
+    return evaluate.generated_queries(_chats(spark, sf_dir))
+
+
+PROFILE = f"""with {MESSAGES},
+profile as (select conversation_key, conversation_type, count(*) message_count, count(*) filter (msg_type = 0) text_message_count,
+  min_by(us, seq) first_us, max_by(us, seq) last_us, floor((epoch(timestamp '2024-02-10') - max_by(us, seq) // 1000000) / 86400)::bigint idle_days
+  from messages group by all),
+removed as (select *, 'inactive' reason from profile where conversation_type = 'group' and idle_days > 10
+  union all select *, 'quiet' from profile where conversation_type = 'private' and text_message_count < 90)"""
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.profile(_messages(spark, sf_dir), curate.as_of(2024, 2, 10))
+
+
+@query(f"{PROFILE} select conversation_key, conversation_type, message_count, text_message_count, first_us, last_us, idle_days from profile")
+def conversation_profile(spark, sf_dir):
+    """Activity of each conversation."""
+    return _profile(spark, sf_dir).select("conversation_key", "conversation_type", "message_count", "text_message_count", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), F.col("days_since_last").alias("idle_days"))
+
+
+@query(f"{PROFILE} select conversation_type, count(*) n from profile group by all")
+def conversation_types(spark, sf_dir):
+    """Conversations of each type."""
+    return curate.type_counts(_profile(spark, sf_dir))
+
+
+@query(f"{PROFILE} select conversation_key, reason, message_count, idle_days from removed")
+def removal_lists(spark, sf_dir):
+    """Inactive groups and quiet private conversations."""
+    return curate.removals(_profile(spark, sf_dir), 10, 90).select("conversation_key", "reason", "message_count", F.col("days_since_last").alias("idle_days"))
+
+
+@query(f"{PROFILE} select conversation_key, idle_days from profile where conversation_type = 'private' and idle_days > 8")
+def old_private(spark, sf_dir):
+    """Private conversations that have been silent."""
+    return curate.old_private(_profile(spark, sf_dir), 8).select("conversation_key", F.col("days_since_last").alias("idle_days"))
+
+
+@query(f"{PROFILE} select conversation_key, message_count from profile where conversation_key not in (select conversation_key from removed)")
+def keep_list(spark, sf_dir):
+    """Conversations that stay."""
+    p = _profile(spark, sf_dir)
+    return curate.keep_list(p, curate.removals(p, 10, 90)).select("conversation_key", "message_count")
+
+
+@query(f"""{PROFILE} select count(*) conversations, count(*) filter (r) removed, sum(message_count)::bigint messages, coalesce(sum(message_count) filter (r), 0)::bigint removed_messages,
+  round(count(*) filter (r) * 100.0 / count(*), 6) removed_percent, round(coalesce(sum(message_count) filter (r), 0) * 100.0 / sum(message_count), 6) removed_messages_percent
+from (select *, conversation_key in (select conversation_key from removed) r from profile)""")
+def cleanup_summary(spark, sf_dir):
+    """What the removals amount to."""
+    p = _profile(spark, sf_dir)
+    return _rounded(curate.summary(p, curate.removals(p, 10, 90)), "removed_percent", "removed_messages_percent")
+
+
+@query(f"{PROFILE} select conversation_key, count(*) n, sum(len(content))::bigint chars from messages where conversation_key not in (select conversation_key from removed) group by all")
+def purged_messages(spark, sf_dir):
+    """Messages left after the removals."""
+    left = curate.purge(_messages(spark, sf_dir), curate.removals(_profile(spark, sf_dir), 10, 90))
+    return left.groupBy("conversation_key").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query(f"with {MEMORIES} select count(*) memories, count(distinct conversation_name) conversations, min(start_timestamp) earliest, max(start_timestamp) latest, max(len(content_embedding))::int dimension from memories")
+def store_stats(spark, sf_dir):
+    """Size of a store."""
+    return embed.store_stats(_memories(spark, sf_dir))
+
+
+@query(f"""with {MEMORIES}, z as (select list_sum(list_transform(content_embedding, lambda x: abs(x))) = 0 a, list_sum(list_transform(context_embedding, lambda x: abs(x))) = 0 b from memories)
+select count(*) total, count(*) filter (a) zero_content, count(*) filter (b) zero_context, avg(a::int) * 100 zero_content_percent, avg(b::int) * 100 zero_context_percent, count(*) filter (not a) effective from z""")
+def vector_health(spark, sf_dir):
+    """Zero vectors of a store."""
+    return embed.vector_health(_memories(spark, sf_dir))
+
+
+@query(f"""with {MEMORIES}, {_scored_sql(context=False)}, r as (select *, row_number() over (partition by query_id order by vector desc, memory_key) k from scored where query_id <> memory_key)
+select query_id memory_key, array_to_string(list(memory_key order by k), ',') related from r where k <= 5 group by query_id""")
+def related_memories(spark, sf_dir):
+    """Most similar other memories."""
+    m = _memories(spark, sf_dir)
+    return search.related(m, m.where("memory_key % 20 = 0")).select("memory_key", F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("related"))
+
+
+@query()
+def lsh_search(spark, sf_dir):
+    """Approximate nearest memories; held against the exact ones in the tests."""
+    m = _memories(spark, sf_dir)
+    return _rounded(search.lsh_search(m, _asked(m).select("query_id", "content_vec")), "vector")
+
+
+@query()
+def embedding_job(spark, sf_dir):
+    """Sessions of the events, embedded offline."""
+    from convorecall.plans.build import memories_of
+
+    m = memories_of(_messages(spark, sf_dir), dim=64, gap_seconds=21600)
+    zero: Column = F.forall("content_embedding", lambda x: x == 0)
+    return m.select("conversation_key", "session_type", F.col("batch").cast("bigint").alias("batch"), F.size("content_embedding").alias("dimension"), zero.alias("zero"))
