@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convorecall.llm.scratch import drawn, texts_of
 from convorecall.llm.textkit import string_column, text_slices
 
 #: Documents that training takes at most, in the order of a hash of their ids.
@@ -121,7 +122,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 1) -
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Train on at most ``sample`` documents with a text and a lang; None if there are none."""
-    rows = docs.where("text is not null and lang is not null").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").select("text", "lang").limit(sample).collect()
+    picked = drawn(docs.where("lang is not null").select("doc_id", "lang"), sample, 5)
+    rows = texts_of(docs, picked).select("text", "lang").limit(2 * sample).collect()  # at most sample rows, if ids are unique
     return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convorecall.llm.scratch import drawn, texts_of
 from convorecall.llm.textkit import string_column
 
 #: Labelled documents of either kind that training takes at most, in the order of a hash of their ids.
@@ -166,12 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
-    picked = marked.where("toxic = 1").orderBy(*order).limit(sample).unionByName(marked.where("toxic = 0").orderBy(*order).limit(2 * sample))
-    # at most 3 * sample rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(*order).select("text", "toxic").collect()
+    picked = drawn(marked.where("toxic = 1"), sample, 11).unionByName(drawn(marked.where("toxic = 0"), 2 * sample, 11))
+    rows = texts_of(docs, picked).select("text", "toxic").limit(6 * sample).collect()  # at most 3 * sample rows, if ids are unique
     share = marked.agg(F.avg("toxic")).first()[0]
-    kinds = [[r.text or "" for r in rows if r.toxic == k] for k in (1, 0)]
+    kinds = [[r.text for r in rows if r.toxic == k] for k in (1, 0)]
     return train(*kinds, prior=share if share and share < 1 else None)
 
 
