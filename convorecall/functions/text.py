@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +94,18 @@ def judged(reply: Column) -> Column:
     found = F.regexp_extract(reply, r"(?s)\{[^}]+\}", 0)
     value = F.from_json(found, "relevance_score double, reasoning string")["relevance_score"]
     return F.when(reply.isNull(), 0.0).when(found == "", 5.0).otherwise(F.coalesce(value, F.lit(0.0)))
+
+
+def console_text(text: Column) -> Column:
+    """Text without emoji and without what the GBK encoding lacks; the latter is beyond SQL and runs in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def encodable(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else t.encode("gbk", "ignore").decode("gbk"))
+
+    return encodable(without_emoji(text))
+
+
+def relevance_or_score(relevance: Column, score: Column) -> Column:
+    """A judge's score, or ten times the hybrid score where there was no judge."""
+    return F.coalesce(relevance, score * 10)

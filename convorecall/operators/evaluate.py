@@ -45,6 +45,12 @@ def generated_queries(messages: DataFrame, seed: int = 1) -> DataFrame:
     return first
 
 
+def first_of_each_type(queries: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` queries of each type and conversation, by their text."""
+    order = Window.partitionBy("conversation_key", "type").orderBy("text")
+    return queries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
+
 def weight_table(spark: SparkSession, weights: list[float] | None = None) -> DataFrame:
     """Candidate weights; the two of a pair sum to 1."""
     return spark.createDataFrame([(float(w), 1.0 - float(w)) for w in weights or WEIGHTS], "bm25_weight double, vector_weight double")

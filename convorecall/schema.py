@@ -37,7 +37,7 @@ DEFAULTS = Defaults()
 
 # Words that are no query on their own.
 STOP_WORDS = ["的", "了", "我", "你", "是", "在", "有", "个", "这", "那", "就", "不", "说", "都", "也", "和", "好", "吧", "啊", "呢"]
-# Code points of emoji and other pictures.
+# Code points of emoji and other pictures. The last range also holds Han, which goes too.
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
 # Weekday names from Monday.
 WEEKDAYS = ["周一", "周二", "周三", "周四", "周五", "周六", "周日"]

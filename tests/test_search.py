@@ -98,3 +98,11 @@ def test_judge(spark):
 def test_best_weight_ties(spark):
     df = spark.createDataFrame([(0.3, 1.0), (0.5, 2.0), (0.7, 2.0)], "bm25_weight double, avg_diff double")
     assert evaluate.best_weight(df, "avg_diff").first().bm25_weight == 0.5
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("hi 😀你好é", None, 0.5), (None, 7.0, 0.1)], "t string, r double, s double")
+    rows = df.select(T.console_text(df.t).alias("c"), T.relevance_or_score(df.r, df.s).alias("v"), T.without_emoji(df.t).alias("e")).collect()
+    assert [(r.c, r.v) for r in rows] == [("hi é", 5.0), (None, 7.0)] and rows[0].e == "hi é"  # the last range takes Han with it
+    q = spark.createDataFrame([("c", "keyword", x) for x in "abc"] + [("c", "mixed", "z")], "conversation_key string, type string, text string")
+    assert sorted(r.text for r in evaluate.first_of_each_type(q, 2).collect()) == ["a", "b", "z"]
