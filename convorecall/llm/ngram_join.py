@@ -10,9 +10,10 @@ regions around single shingles, and document pivots take over inside them:
    shingles that fill many zones last, then goes by hash; for sets whose zone is too full of those, the prefix is
    taken anew from the whole set. Each shared prefix shingle is a region; regions with equal members are one.
 3. In each region pivots are drawn, and the distances to them are computed exactly. Sets within the radius of a pivot
-   are links. Each set goes to the Voronoi cell of its nearest linked pivot, and is replicated, by the triangle
-   inequality, to every cell whose pivot lies within twice the radius; sets linked to no pivot stay together.
-   Each of these regions is joined again in the same way, with more pivots. Regions whose members are already
+   are linked to it; a set's Voronoi cell is that of its nearest pivot. The regions are joined again, with more pivots
+   each time, and at last with all members outside a region's largest connected part as pivots. A pair is examined only
+   if its sets are not connected yet, if what follows their shared shingle in the order leaves room for the similarity,
+   and if by the triangle inequality either set lies in the window of the other's cell. Regions whose members are
    connected hold no news and are dropped, so copies of one text never become all their pairs.
 """
 
@@ -32,6 +33,8 @@ from convorecall.llm.textkit import Words, distinct_pairs, mix, string_column, t
 
 #: Zones with a shingle in more documents than this make the shingle a common one, which comes last in the order.
 COMMON = 5
+#: Pivots drawn from each region in turn, before all that are still apart become pivots.
+DRAWS = (1, 8, 32)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -108,40 +111,63 @@ def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "x_items", "y_items").mapInArrow(_pairs(percent), "x long, y long, d double, linked boolean")
 
 
+def _windows(pairs: DataFrame, seen: DataFrame, radius: float) -> DataFrame:
+    """Pairs that a pivot's windows do not part: of two sets within the radius, the distances to any set differ by no more.
+
+    A set's cell is that of its nearest pivot; it lies in the window of another set's cell unless its own distance to
+    that cell's pivot is known and too different.
+    """
+    cell = written(seen.groupBy("x").agg(F.min_by(F.struct("y", "d"), F.struct("d", "y")).alias("c")).select("x", "c.*"), "cells")
+    known = seen.select("x", "y", "d")
+
+    def parted(pairs: DataFrame, own: str, other: str) -> DataFrame:
+        df = pairs.join(cell.toDF(own, "pivot", "own_d"), own, "left").join(known.toDF(other, "pivot", "other_d"), [other, "pivot"], "left")
+        return df.where(F.coalesce(F.abs(F.col("own_d") - F.col("other_d")) <= radius + 1e-9, F.lit(True))).select("x", "y")
+
+    return parted(parted(pairs, "x", "y"), "y", "x")
+
+
 def _regions(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``region, doc_id``: documents that share a prefix shingle; regions with one member or equal members are left out.
+    """``region, doc_id, n, at``: documents that share a prefix shingle, and its place in their order, at the least.
+
+    Regions of one member are left out, and those of equal members are one.
 
     Common shingles are those of many zones, and those of many whole sets among the documents that are crowded by the
     former; both come last in the order. Documents crowded by either get their prefix from the whole set.
     """
     need = F.floor((100 - percent) * F.col("n") / 100) + 1  # of the prefix
-    entries = reps.select("doc_id", "n", F.explode("items").alias("g"))
+    entries = reps.select("doc_id", "n", F.posexplode("items").alias("at", "g"))
     shared = written(entries.groupBy("g").count().where("count > 1"), "shared")
 
-    def crowded_by(common: DataFrame) -> DataFrame:
-        per_doc = entries.join(small(common), "g", "left_semi").groupBy("doc_id", "n").count()
-        return written(per_doc.where(F.floor(F.col("n") / 4) + 1 - F.col("count") < need).select("doc_id"), "crowded")
+    def late_in(common: DataFrame) -> DataFrame:
+        """Common shingles in each zone, and whether they crowd it."""
+        per_doc = entries.join(small(common), "g", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("late"))
+        return written(per_doc.withColumn("crowded", F.floor(F.col("n") / 4) + 1 - F.col("late") < need).drop("n"), "late")
 
     def whole(ids: DataFrame) -> DataFrame:
         return written(shingle_sets(docs.join(small(ids), "doc_id", "left_semi"), words).select("doc_id", "n", "items"), "whole")
 
     common = written(shared.where(F.col("count") > COMMON).select("g"), "common")
-    first = crowded_by(common)
+    first = written(late_in(common).where("crowded").select("doc_id"), "crowded")
     sets = whole(first)
     more = sets.select(F.explode("items").alias("g")).groupBy("g").count().where(F.col("count") > COMMON).select("g")
     common = written(common.unionByName(more).distinct(), "common")
-    crowded = crowded_by(common)
+    late = late_in(common)
+    crowded = written(late.where("crowded").select("doc_id"), "crowded")
     sets = sets.unionByName(whole(written(crowded.join(first, "doc_id", "left_anti"), "crowded")))
     ranked = sets.select("doc_id", "n", F.explode("items").alias("g")).join(small(common).withColumn("late", F.lit(1)), "g", "left")
     rank = F.expr("row_number() over (partition by doc_id order by coalesce(late, 0), g < 0, g)")  # by unsigned hash, as zones are
-    again = written(ranked.withColumn("rank", rank).where(F.col("rank") <= need).select("g", "doc_id"), "again")
+    again = written(ranked.withColumn("rank", rank).where(F.col("rank") <= need).select("g", "doc_id", "n", (F.col("rank") - 1).alias("at")), "again")
     kept = shared.where(F.col("count") <= COMMON).select("g").unionByName(again.select("g")).distinct().join(small(common), "g", "left_anti")
-    light = entries.join(small(crowded), "doc_id", "left_anti").join(small(written(kept, "kept")), "g", "left_semi").select("g", "doc_id")
-    prefix = written(light.unionByName(again), "prefix")
+    light = entries.join(small(crowded), "doc_id", "left_anti").join(small(written(kept, "kept")), "g", "left_semi")
+    # the place in the order: common shingles before it do not count, and no more than all of them can be before it
+    light = light.join(small(late.where("not crowded").select("doc_id", "late")), "doc_id", "left")
+    light = light.select("g", "doc_id", "n", F.greatest(F.col("at") - F.coalesce("late", F.lit(0)), F.lit(0)).alias("at"))
+    prefix = written(light.unionByName(again.withColumn("at", F.col("at").cast("long"))), "prefix")
     members = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"m{k}") for k in (1, 2)]
     region = prefix.groupBy("g").agg(F.count("*").alias("size"), *members).where("size > 1")
-    region = region.groupBy("size", "m1", "m2").agg(F.min("g").alias("g")).select("g")
-    return prefix.join(region, "g").select(F.col("g").alias("region"), "doc_id")
+    region = region.select("g", F.xxhash64("size", "m1", "m2").alias("region"))
+    return prefix.join(region, "g").groupBy("region", "doc_id", "n").agg(F.min("at").alias("at"))
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -155,50 +181,43 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    radius = 1 - percent / 100
     zones = written(shingle_sets(docs, words, zone=True), "zones")
     classes = written(zones.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
     copies = written(zones.select("doc_id", "n", "digest").join(classes, ["digest", "n"]).where("doc_id <> rep").select("doc_id"), "copies")
     reps = zones.where("n > 0").join(small(copies), "doc_id", "left_anti")
-    live = written(_regions(reps, docs, words, percent).withColumns({"home": F.lit(True), "comp": F.col("doc_id")}), "regions")
+    live = written(_regions(reps, docs, words, percent).withColumn("comp", F.col("doc_id")), "regions")
     need = written(live.select("doc_id").distinct(), "members")
     sets = _bucketed(shingle_sets(docs.join(small(need), "doc_id", "left_semi"), words).select("doc_id", "n", "items"))
-    size = written(sets.select("doc_id", "n"), "sizes")
-    links, labels, draw = None, None, 1
-    while not live.isEmpty():
-        # Pivots drawn from whole regions gather the groups of copies; later ones come from outside a region's largest
-        # part, whose members need not be told apart, until all others have been pivots.
-        pool = live
-        if draw > 8:
+    links, labels, seen = None, None, None
+    for draw in (*DRAWS, None):
+        if live.isEmpty():
+            break
+        if draw:  # pivots from whole regions gather the groups of copies
+            lot = F.pmod(F.xxhash64("doc_id", F.lit(draw)), F.lit(draw))
+            first = F.min_by(F.struct("doc_id", "n", "at", "comp"), F.xxhash64("doc_id", F.lit(7))).alias("p")
+            pivots = live.groupBy("region", lot.alias("lot")).agg(first).select("region", "p.*").withColumn("rest", F.lit(False))
+        else:  # then all are pivots but a region's largest part, whose members need not be told apart
             parts = live.groupBy("region", "comp").agg(F.count("*").alias("k"))
             most = parts.groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
-            pool = live.join(most, "region").where("comp <> most")
-        lot = F.pmod(F.xxhash64("doc_id", F.lit(draw)), F.lit(draw))
-        pivots = pool.groupBy("region", lot.alias("lot")).agg(F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", F.lit(7))).alias("p"))
-        pivots = written(pivots.select("region", F.col("p.doc_id").alias("y"), F.col("p.comp").alias("y_comp")), "pivots")
-        met = live.join(pivots, "region").where("doc_id <> y and comp <> y_comp")
-        met = written(met.select("region", F.col("doc_id").alias("x"), "y"), "met")
-        pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = pairs.join(size.toDF("x", "nx"), "x").join(size.toDF("y", "ny"), "y")
-        pairs = pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * int(100 * (1 - 2 * radius))).select("x", "y")
-        found = written(_measure(pairs, sets, percent), "distances")
+            live = live.join(most, "region").withColumn("rest", F.col("comp") != F.col("most")).drop("most")
+            pivots = live.where("rest")
+        pivots = written(pivots.select("region", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("comp").alias("y_comp")), "pivots")
+        # if this is the first shingle that both have, neither has more in common than what comes after it
+        most_shared = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("ny") - F.col("aty"))
+        apart = (F.col("doc_id") != F.col("y")) & (F.col("comp") != F.col("y_comp")) & (most_shared >= percent * (F.col("n") + F.col("ny")))
+        once = apart if draw else apart & (~F.col("rest") | (F.col("doc_id") < F.col("y")))
+        met = live.join(pivots, "region").where(once).select(F.col("doc_id").alias("x"), "y").distinct()
+        found = written(_measure(_windows(met, seen, 1 - percent / 100) if seen is not None else met, sets, percent), "distances")
+        seen = found if seen is None else seen.unionByName(found)
         new = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
-        # Voronoi cells and their windows
-        both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), "d", "linked")).where(F.col("d") <= 2 * radius + 1e-9)
-        near = written(met.join(both, ["x", "y"]), "near")
-        cell = near.where("linked").groupBy("region", "x").agg(F.min_by("y", F.struct("d", "y")).alias("cell"))
-        rest = live.join(pivots.select("region", F.col("y").alias("doc_id")), ["region", "doc_id"], "left_anti")
-        rest = rest.join(cell.withColumnRenamed("x", "doc_id"), ["region", "doc_id"], "left")
-        own = rest.select(F.when(F.col("cell").isNull(), F.col("region")).otherwise(F.xxhash64("region", "cell")).alias("region"), "doc_id", "home")
-        window = near.join(cell, ["region", "x"], "left").where("cell is null or cell <> y").join(pivots.select("region", F.col("y").alias("x"), F.lit(True).alias("out")), ["region", "x"], "left").where("out is null")
-        window = window.select(F.xxhash64("region", "y").alias("region"), F.col("x").alias("doc_id"), F.lit(False).alias("home"))
-        live = own.unionByName(window).join(labels.withColumnsRenamed({"node": "doc_id", "component": "comp"}), "doc_id", "left")
-        live = live.withColumn("comp", F.coalesce("comp", "doc_id"))
-        open_ = live.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("any")).where("c0 <> c1 and any").select("region")
-        live = written(live.join(open_, "region").select("region", "doc_id", "home", "comp"), "regions")
-        draw *= 8 if draw == 1 else 4
+        if draw:
+            gone = pivots.select("region", F.col("y").alias("doc_id"))
+            live = live.join(gone, ["region", "doc_id"], "left_anti").drop("comp").join(labels.withColumnsRenamed({"node": "doc_id", "component": "comp"}), "doc_id", "left")
+            live = live.withColumn("comp", F.coalesce("comp", "doc_id"))
+            open_ = live.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region")
+            live = written(live.join(open_, "region").select("region", "doc_id", "n", "at", "comp"), "regions")
     out = zones.join(classes, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     if labels is None:
         return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
