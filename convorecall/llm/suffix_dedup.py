@@ -242,7 +242,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     own = long_.join(small(copies), "doc_id", "left_anti")
     shared = written(own.mapInArrow(_anchor_counts, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "anchors")
     if shared.count() <= SMALL_ROWS:
-        keys = np.sort(shared.toPandas()["g"].to_numpy(np.int64).view(np.uint64))
+        keys = np.sort(shared.toArrow().column("g").to_numpy().view(np.uint64))
         strings = own.mapInArrow(_strings(keys), "g long, near binary, doc_id long, at long, n long")
     else:  # too many to send to every worker: send each document its own
         keys = own.mapInArrow(_anchors_of, "doc_id long, g long").join(shared, "g", "left_semi").groupBy("doc_id").agg(F.collect_set("g").alias("keys"))
@@ -251,5 +251,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = strings.where("octet_length(near) = 0").select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
     found = strings.where("octet_length(near) > 0").repartition("g").mapInArrow(_shard, "doc_id long, first long, last long")
     runs = written(found.unionByName(known).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    out = docs.join(small(copies).withColumn("copy", F.lit(True)), "doc_id", "left").join(small(runs), "doc_id", "left")
+    total = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first().n
+    few = F.broadcast(runs) if total <= SMALL_ROWS // 4 else runs
+    out = docs.join(small(copies).withColumn("copy", F.lit(True)), "doc_id", "left").join(few, "doc_id", "left")
     return out.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "runs").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
