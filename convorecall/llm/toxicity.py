@@ -1,15 +1,16 @@
 """Toxicity by compression distance: two zstandard dictionaries, and the bytes either saves on short windows.
 
 The dictionary of toxic text and that of ordinary text hold, besides the words both share, the words and word beginnings that the one
-kind of text has far more often than the other, measured on labelled documents of which near copies are left out. A text is
-cut into windows of whole words; the difference of a window's compressed lengths under the two dictionaries is its
-evidence. A logistic curve, fitted to labelled documents that the dictionaries have not seen, turns the evidence of
+kind of text has far more often than the other, measured on labelled documents of which near copies are left out. Words
+are coded so that a match can only begin where a word begins. A text is cut into windows of whole words; the difference of
+a window's compressed lengths under the two dictionaries is its evidence. A logistic curve, fitted to labelled documents that the dictionaries have not seen, turns the evidence of
 all windows into a probability.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,22 +26,40 @@ from convorecall.llm.textkit import string_column
 #: Labelled documents of either kind that training takes at most, in the order of a hash of their ids.
 SAMPLE = 1500
 WINDOW = 32
-SPAN = (-6, 8)  # differences beyond count as these
+STEP = 3  # bytes of difference that count as one
+SPAN = (-8, 16)  # steps; differences beyond count as these
+LEAST = 15  # deviations by which a mark is more frequent than in the other kind of text
+DICTIONARY = 16_384  # coded bytes of marks that a dictionary takes, the strongest first
 THRESHOLD = 0.3
 _CUT = re.compile(r"[.,;:!?\"()\[\]]+")
 
 
-def _windows(text: str) -> Iterator[bytes]:
-    part: list[str] = []
+def _code(word: str) -> bytes:
+    """Two bytes for each beginning of the word, the last with its end: two words agree in as many as they begin alike."""
+    h, out = 0, bytearray()
+    for c in word + " ":
+        h = zlib.crc32(c.encode("utf-8", "replace"), h)
+        out += (h & 0xFFFF).to_bytes(2, "little")
+    return bytes(out)
+
+
+def _windows(text: str, codes: dict[str, bytes]) -> Iterator[bytes]:
+    """Coded windows of the text; ``codes`` keeps the codes of short words."""
+    part: list[bytes] = []
     size = 0
     for word in _CUT.sub(" ", text.lower()).split():
-        part.append(word)
+        code = codes.get(word)
+        if code is None:
+            code = _code(word)
+            if len(codes) < 50_000 and len(word) < 40:
+                codes[word] = code
+        part.append(code)
         size += len(word) + 1
         if size >= WINDOW:
-            yield (" ".join(part) + " ").encode("utf-8", "replace")
+            yield b"".join(part)
             part, size = [], 0
     if part:
-        yield (" ".join(part) + " ").encode("utf-8", "replace")
+        yield b"".join(part)
 
 
 def _apart(texts: list[str]) -> list[list[str]]:
@@ -57,24 +76,34 @@ def _apart(texts: list[str]) -> list[list[str]]:
 
 
 def _stems(words: list[str]) -> set[str]:
-    """Distinct words and their beginnings of four to six letters."""
+    """Distinct words, each with its end, and their beginnings of four to seven letters."""
     own = set(words)
-    return own | {w[:n] for w in own for n in (4, 5, 6) if len(w) > n}
+    return {w + " " for w in own} | {w[:n] for w in own for n in (4, 5, 6, 7) if len(w) >= n}
 
 
 def _marks(a: Counter, n: int, b: Counter, m: int) -> list[str]:
-    """Words and beginnings much more frequent among the n texts counted in a than among the m in b; none contains another."""
+    """Words and beginnings much more frequent among the n texts counted in a than among the m in b; none begins with another."""
     scored = []
     for word, c in a.items():
         p, q = c / n, (b[word] + 0.5) / (m + 1)
-        if c >= 4 and p >= 0.015 and p > q:
-            scored.append(((p - q) / np.sqrt(q * (1 - q) / n + 1e-9), len(word), word))
+        if c >= 4 and p > q and len(word) >= 4:
+            scored.append(((p - q) / np.sqrt(q * (1 - q) / n + 1e-9), -len(word), word))
     scored.sort(reverse=True)
-    kept: list[str] = []
+    kept: dict[str, None] = {}
+    size = 0
     for z, _, word in scored:
-        if z > 15 and len(word) >= 3 and len(kept) < 48 and not any(word in k or k in word for k in kept):
-            kept.append(word)
-    return kept
+        size += 2 * len(word)
+        if z <= LEAST or size > DICTIONARY:
+            break
+        if any(word[:i] in kept for i in range(4, len(word))):
+            size -= 2 * len(word)
+        else:
+            kept[word] = None
+    return list(kept)
+
+
+def _begins(marks: list[str]) -> bytes:
+    return b"".join(_code(w.rstrip())[: 2 * len(w)] for w in reversed(marks))
 
 
 class Model:
@@ -84,22 +113,23 @@ class Model:
         self.dictionaries, self.weights = dictionaries, weights
         self.ratios = np.zeros(SPAN[1] - SPAN[0] + 1)
         self._pair: list | None = None
+        self._codes: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_pair": None}
+        return self.__dict__ | {"_pair": None, "_codes": {}}
 
     def differences(self, text: str) -> np.ndarray:
         """Of each window: bytes under the ordinary dictionary less bytes under the toxic one, from 0 for the least."""
         if self._pair is None:
-            how = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=14, hash_log=12, chain_log=12, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=17, hash_log=14, chain_log=14, search_log=5, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._pair = []
             for raw in self.dictionaries:
                 d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=how)
                 self._pair.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress)
         toxic, ordinary = self._pair
-        d = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in _windows(text)), np.int64)
-        return np.clip(d, *SPAN) - SPAN[0]
+        d = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in _windows(text, self._codes)), np.int64)
+        return np.clip(np.rint(d / STEP).astype(np.int64), *SPAN) - SPAN[0]
 
     def evidence(self, text: str) -> np.ndarray:
         """Log-likelihood ratios of the windows' differences: sum, mean and sum of the three largest."""
@@ -140,10 +170,10 @@ def train(toxic: list[str], ordinary: list[str], prior: float | None = None) ->
     (a, n), (b, m) = words
     own = [_marks(a, n, b, m), _marks(b, m, a, n)]
     marks = own[0] + own[1]
-    common = [w for w, _ in (a + b).most_common(600) if not any(k in w for k in marks)][:300]
-    head = [(" ".join(x) + " ").encode() for x in own]
+    common = [w for w, _ in (a + b).most_common(600) if not any(w.startswith(k) for k in marks)][:300]
+    head = [_begins(x) for x in own]
     size = max(max(map(len, head)), 16)
-    tail = (" ".join(common) + " ").encode()
+    tail = _begins(common)
     model = Model((head[0].rjust(size, b"\n") + tail, head[1].rjust(size, b"\n") + tail), np.zeros(4))
     fit = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
     if not fit:

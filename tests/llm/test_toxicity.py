@@ -34,3 +34,27 @@ def test_edges(spark):
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(df, model).collect()} == {0.5}
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_many_marks_are_used(spark):
+    """Toxic texts hold one of 90 words that begin alike with none; the same letters occur inside ordinary words."""
+    rng = random.Random(3)
+    letters = "bcdfghjklmnpqrstvwxz"
+    bad = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(90)]
+
+    def rows(n, first):
+        out = []
+        for i in range(n):
+            text = ["".join(rng.choice(["ka", "to", "mi", "re", "the", "ing"]) for _ in range(3)) for _ in range(60)]
+            text += ["ka" + rng.choice(bad) for _ in range(3)]
+            toxic = i % 2
+            if toxic:
+                text += rng.sample(bad, 4)
+            rng.shuffle(text)
+            out.append((first + i, " ".join(text), toxic))
+        return out
+
+    train, held = rows(1600, 0), rows(300, 5000)
+    model = toxicity.train([t for _, t, k in train if k], [t for _, t, k in train if not k])
+    found = [(toxicity.THRESHOLD <= model.scores(model.evidence(t)[None])[0], k) for _, t, k in held]
+    assert sum(p for p, k in found if k) >= 0.95 * 150 and sum(p for p, k in found if not k) <= 0.05 * 150
