@@ -106,3 +106,16 @@ def test_small_functions(spark):
     assert [(r.c, r.v) for r in rows] == [("hi é", 5.0), (None, 7.0)] and rows[0].e == "hi é"  # the last range takes Han with it
     q = spark.createDataFrame([("c", "keyword", x) for x in "abc"] + [("c", "mixed", "z")], "conversation_key string, type string, text string")
     assert sorted(r.text for r in evaluate.first_of_each_type(q, 2).collect()) == ["a", "b", "z"]
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    m = memories(spark, 20).cache()
+    index = {name: table.cache() for name, table in search.build_index(m).items()}
+    q = m.where("memory_key < 5").selectExpr("memory_key query_id", "content_text query_text", "content_embedding content_vec", "context_embedding context_vec")
+
+    def found():
+        return [{(r.query_id, r.rank): r.memory_key for r in df.collect()} for df in (search.vector_search(m, q, 2), search.hybrid_search(m, index, q, 2, method="pruned"))]
+
+    want = found()
+    monkeypatch.setattr(search, "MAX_QUERIES", 4)
+    assert found() == want and len(want[0]) == 10
