@@ -1,6 +1,7 @@
 import random
 import re
 
+from convorecall.llm import ngram_join
 from convorecall.llm.ngram_join import jaccard_classes
 
 
@@ -51,14 +52,41 @@ def result(spark, rows):
 
 
 def test_equals_brute_force(spark, monkeypatch):
-    import convorecall.llm.ngram_join as m
-
-    for seed, common in ((1, 40), (2, 3)):
-        monkeypatch.setattr(m, "COMMON", common)
-        rows = corpus(seed)
+    assert result(spark, corpus(1)) == brute(corpus(1))
+    # small regions only, so that pivots, cells and differences do the work, for one round and for three
+    for seed, rounds, net in ((2, 3, 0.6), (3, 1, 0.1)):
+        for name, value in (("LEAF", 2), ("ROUNDS", rounds), ("NET", net)):
+            monkeypatch.setattr(ngram_join, name, value)
+        rows = corpus(seed, n=90, bases=2)
         assert result(spark, rows) == brute(rows)
 
 
+def test_crowd_of_near_copies(spark, monkeypatch):
+    """Copies of one text with runs of words replaced, some just linked and some just not, all in one region."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(110)
+            words[at : at + rng.randint(1, 4)] = [f"r{rng.randrange(40)}" for _ in range(3)]
+        rows.append((i, " ".join(words)))
+    want = brute(rows)
+    assert 5 < len({c for _, c in want.values()}) < 60
+    for leaf in (2, 32):
+        monkeypatch.setattr(ngram_join, "LEAF", leaf)
+        assert result(spark, rows) == want
+
+
+def test_repeated_rows(spark):
+    rows = corpus(4, n=20)
+    df = jaccard_classes(spark.createDataFrame(rows + rows[:9] + rows[:3], "doc_id long, text string"))
+    found = sorted(tuple(r) for r in df.collect())
+    want = brute(rows)
+    assert found == sorted((i, *want[i]) for i, _ in rows + rows[:9] + rows[:3])
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (5, "ONE two"), (6, "one two three four five"), (7, "x " * 3000), (8, "x " * 2999)]
     assert result(spark, rows) == brute(rows)
