@@ -234,11 +234,12 @@ def _cell_regions(cells: DataFrame, sets: DataFrame, rule: _Rule) -> DataFrame:
     own = _beside(sized, sets, pivots=True)
     parts = F.concat(F.array_except("x_items", "y_items"), F.array_except("y_items", "x_items"))
     elements = written(own.select("y", F.col("x").alias("doc_id"), F.col("nx").alias("n"), "comp", "size", "prefix", F.explode(parts).alias("e")), "differences")
-    often = elements.groupBy("y", "e").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("y", "doc_id").orderBy("often", "e")
-    ranked = elements.join(often, ["y", "e"]).withColumn("at", (F.row_number().over(order) - 1).cast("long"))
-    ranked = ranked.where("at < prefix and often > 1")
-    return ranked.select(F.xxhash64("y", "e").alias("region"), "doc_id", "n", "comp", "size", "at")
+    # an element of one set alone meets nothing; such come first in the order, so it is enough to know how many they are
+    often = elements.groupBy("y", "e").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("y", "doc_id")
+    ranked = elements.join(often, ["y", "e"]).withColumn("alone", F.col("size") - F.count("*").over(own))
+    ranked = ranked.withColumn("at", F.col("alone") + F.row_number().over(own.orderBy("often", "e")) - 1).where("at < prefix")
+    return written(ranked.select(F.xxhash64("y", "e").alias("region"), "doc_id", "n", "comp", "size", "at"), "cell_regions")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
