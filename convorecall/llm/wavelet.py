@@ -1,7 +1,8 @@
 """Token-id output: one compressed wavelet matrix per shard, with random access, counting and occurrence lookup.
 
 A shard's file holds its documents' ids and lengths and one bit-plane per bit of a token id, from the highest down.
-Each plane parts the ids stably, zeros first. Rank counts before every 512 bits are rebuilt when a file is opened.
+Each plane parts the ids stably, zeros first. A plane is compressed in blocks of 4 KB; the file's directory holds the ones
+before each block and where it ends, so that rank, select and access open only the blocks that they touch, one or two a plane.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,73 +22,86 @@ from convorecall.llm.scratch import written
 from convorecall.llm.textkit import string_column, text_slices
 from convorecall.llm.tokens import encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BITS = 16
-_BLOCK = 512
+_BLOCK = 1 << 15  # bits
+_BYTES = _BLOCK // 8
 
 
 class WaveletMatrix:
-    """Sequence of ids below 2**16 as bit-planes."""
+    """Sequence of ids below 2**16 as compressed bit-planes with a directory."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.zeros, self.planes = n, zeros, planes
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, zeros: list[int], ranks: np.ndarray, ends: np.ndarray, data: bytes):
+        self.n, self.zeros, self.ranks, self.ends, self.data = n, zeros, ranks, ends, data
+        self.blocks = ranks.shape[1] - 1
+        self._open: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        now = ids.astype(np.uint16)
-        zeros, planes = [], []
-        for b in range(BITS - 1, -1, -1):
-            bit = (now >> np.uint16(b)) & np.uint16(1) != 0
-            planes.append(np.packbits(bit, bitorder="little"))
+        now, n = ids.astype(np.uint16), len(ids)
+        blocks = -(-n // _BLOCK)
+        ranks, sizes, zeros, parts = np.zeros((BITS, blocks + 1), np.int64), [], [], []
+        pack = zstandard.ZstdCompressor(level=1)
+        for level in range(BITS):
+            bit = (now >> np.uint16(BITS - 1 - level)) & np.uint16(1) != 0
+            plane = np.zeros(blocks * _BYTES, np.uint8)
+            packed = np.packbits(bit, bitorder="little")
+            plane[: len(packed)] = packed
+            np.cumsum(np.bitwise_count(plane).reshape(blocks, _BYTES).sum(1), out=ranks[level, 1:])
+            for k in range(blocks):
+                parts.append(pack.compress(plane[k * _BYTES : (k + 1) * _BYTES].tobytes()))
+                sizes.append(len(parts[-1]))
             now = np.concatenate([now[~bit], now[bit]])
-            zeros.append(int(len(bit) - np.count_nonzero(bit)))
-        return cls(len(ids), zeros, planes)
+            zeros.append(n - int(ranks[level, -1]))
+        return cls(n, zeros, ranks, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), b"".join(parts))
 
     def to_bytes(self) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1)
-        parts = [pack.compress(p.tobytes()) for p in self.planes]
-        return struct.pack("<Q", self.n) + struct.pack(f"<{BITS}Q", *self.zeros) + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
+        head = struct.pack(f"<{BITS + 1}Q", self.n, *self.zeros)
+        return head + self.ranks.astype("<i8").tobytes() + self.ends.astype("<i8").tobytes() + self.data
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
+        """Reads the directory; the blocks stay compressed."""
         n, *zeros = struct.unpack_from(f"<{BITS + 1}Q", raw)
-        at, planes, unpack = 8 * (BITS + 1), [], zstandard.ZstdDecompressor()
-        for _ in range(BITS):
-            (size,) = struct.unpack_from("<Q", raw, at)
-            planes.append(np.frombuffer(unpack.decompress(raw[at + 8 : at + 8 + size], max_output_size=n // 8 + 1), np.uint8))
-            at += 8 + size
-        return cls(n, list(zeros), planes)
+        blocks, at = -(-n // _BLOCK), 8 * (BITS + 1)
+        ranks = np.frombuffer(raw, "<i8", BITS * (blocks + 1), at).reshape(BITS, blocks + 1)
+        at += ranks.nbytes
+        ends = np.frombuffer(raw, "<i8", BITS * blocks + 1, at)
+        return cls(n, list(zeros), ranks, ends, raw[at + ends.nbytes :])
+
+    def _block(self, level: int, k: int) -> np.ndarray:
+        if (level, k) not in self._open:
+            if len(self._open) >= 64:
+                self._open.clear()
+            i = level * self.blocks + k
+            raw = zstandard.ZstdDecompressor().decompress(self.data[self.ends[i] : self.ends[i + 1]], max_output_size=_BYTES)
+            self._open[level, k] = np.frombuffer(raw, np.uint8)
+        return self._open[level, k]
 
     def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        plane = np.concatenate([self._block(level, k) for k in range(self.blocks)]) if self.blocks else np.zeros(0, np.uint8)
+        return np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self._block(level, i // _BLOCK)[i % _BLOCK // 8]) >> i % 8 & 1
 
     def _rank(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        if self._ranks is None:
-            self._ranks = []
-            for p in self.planes:
-                own = np.zeros(-(-self.n // _BLOCK) + 1, np.int64)
-                padded = np.zeros((len(own) - 1) * _BLOCK // 8, np.uint8)
-                padded[: len(p)] = p
-                np.cumsum(np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(1), out=own[1:])
-                self._ranks.append(own)
-        k = i // _BLOCK
-        part = self.planes[level][k * _BLOCK // 8 : i // 8]
-        rest = int(self.planes[level][i // 8]) & ((1 << i % 8) - 1) if i % 8 else 0
-        return int(self._ranks[level][k]) + int(np.bitwise_count(part).sum()) + rest.bit_count()
+        k, rest = divmod(i, _BLOCK)
+        ones = int(self.ranks[level, k])
+        if rest:
+            block = self._block(level, k)
+            ones += int(np.bitwise_count(block[: rest // 8]).sum())
+            if rest % 8:
+                ones += (int(block[rest // 8]) & ((1 << rest % 8) - 1)).bit_count()
+        return ones
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) bit of that value."""
-        lo, hi = 0, self.n - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Place of the k-th (from 0) bit of that value: its block from the directory, its place from the block."""
+        counts = self.ranks[level] if bit else np.arange(self.blocks + 1) * _BLOCK - self.ranks[level]
+        block = int(np.searchsorted(counts, k, "right")) - 1
+        bits = np.unpackbits(self._block(level, block), bitorder="little") == bit
+        return block * _BLOCK + int(np.flatnonzero(bits)[k - int(counts[block])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -95,7 +110,7 @@ class WaveletMatrix:
         out = 0
         for level in range(BITS):
             ones = self._rank(level, i)
-            bit = int(self.planes[level][i // 8]) >> i % 8 & 1
+            bit = self._bit(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             out = out << 1 | bit
         return out
@@ -153,23 +168,25 @@ def open_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 
 
 def _encode(path: str, end_id: int, shard_tokens: int):
-    def shard(held: list) -> pa.RecordBatch:
-        docs, lengths, ids = (np.concatenate(x) for x in zip(*held))
-        names = ["first_doc", "last_doc", "n_tokens", "shard"]
-        return pa.RecordBatch.from_arrays([pa.array([int(docs[0])]), pa.array([int(docs[-1])]), pa.array([len(ids)]), pa.array([shard_bytes(docs, lengths, ids)], pa.binary())], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+
+        def shard(held: list) -> pa.RecordBatch:
+            docs, lengths, ids = (np.concatenate(x) for x in zip(*held))
+            row = {"part": part, "number": number, "first_doc": int(docs[0]), "last_doc": int(docs[-1]), "n_tokens": len(ids)}
+            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in row.values()), pa.array([shard_bytes(docs, lengths, ids)], pa.binary())], names=[*row, "shard"])
+
         tool, held, total = encoder(path, "word"), [], 0
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
-            for lo, hi, data, offsets in text_slices(string_column(batch, "text"), 4 << 20):
+            for lo, hi, data, offsets in text_slices(string_column(batch, "text"), min(4 << 20, 4 * shard_tokens)):
                 flat, count = tool.encode(data, offsets)
                 ends = np.cumsum(count)
                 held.append((ids[lo:hi], count + 1, np.insert(flat, ends, end_id)))
                 total += len(flat) + hi - lo
                 if total >= shard_tokens:
                     yield shard(held)
-                    held, total = [], 0
+                    held, total, number = [], 0, number + 1
         if held:
             yield shard(held)
 
@@ -186,19 +203,46 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (docs, start + ends - lengths, lengths, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+_SHARD = "part long, number long, first_doc long, last_doc long, n_tokens long, shard binary"
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_tokens: int = 2_000_000) -> DataFrame:
     """Encode ``docs`` (``doc_id``, ``text``) in ascending doc_id order and write the shards' files.
 
-    Returns the written table ``first_doc, last_doc, n_tokens, shard``; a shard is one file's bytes, kept in a binary
-    column so that any store Spark reaches will do. Null and empty texts hold ``end_id`` alone; rows with a null doc_id
-    are left out; repeated ids follow each other; an empty table gives no shards.
+    Returns the written table ``part, number, first_doc, last_doc, n_tokens, shard``; ``part`` and ``number`` give the
+    shards' order. A shard is one file's bytes, kept in a binary column so that any store Spark reaches will do. Null and
+    empty texts hold ``end_id`` alone; rows with a null doc_id are left out; rows of one doc_id follow each other by their
+    texts; an empty table gives no shards; other columns are not read.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(_encode(tokenizer_path, end_id, shard_tokens), "first_doc long, last_doc long, n_tokens long, shard binary"), "shards")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return written(ordered.mapInArrow(_encode(tokenizer_path, end_id, shard_tokens), _SHARD), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the shards' files."""
-    before = Window.orderBy("first_doc", "last_doc").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("first_doc", "last_doc", "n_tokens").withColumn("shard_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return shards.join(starts, ["first_doc", "last_doc", "n_tokens"]).select("shard_start", "shard").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # starts within a part, then those of the parts, of which there are as many as partitions were written
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("own")).select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    starts = shards.select("part", "number", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("at")).join(parts, "part")
+    starts = starts.select("part", "number", (F.col("before") + F.col("at")).alias("shard_start"))
+    return shards.join(starts, ["part", "number"]).select("shard_start", "shard").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def find_tokens(shards: DataFrame, tokens: list[int], most: int = 10) -> DataFrame:
+    """``part, number, token, n, places``: occurrences of each of ``tokens`` in each shard that has any, and the first ``most`` places.
+
+    Only the blocks on the tokens' paths are opened.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, number, raw in zip(batch.column("part").to_pylist(), batch.column("number").to_pylist(), batch.column("shard")):
+                matrix = open_shard(raw.as_py())[2]
+                found = [(part, number, t, n, [matrix.locate(t, k) for k in range(min(n, most))]) for t in tokens if (n := matrix.count(t))]
+                columns = list(zip(*found)) or [()] * 5
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "number", "token", "n", "places"])
+
+    return shards.select("part", "number", "shard").mapInArrow(run, "part long, number long, token long, n long, places array<long>")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from convorecall.llm import packing, wavelet
@@ -48,6 +49,54 @@ def test_bin_completion():
     assert sum(t for _, t in packing.bin_completion({30: 10, 20: 3, 40: 3, 10: 6, 5: 12}, 60)) == 10
 
 
+def fewest(pieces, capacity):
+    """Least number of sequences, by trying every partition."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for j, room in enumerate(rooms):
+            if room >= pieces[i] and room not in rooms[:j]:
+                place(i + 1, [*rooms[:j], room - pieces[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_fewest_sequences():
+    rng = random.Random(5)
+    for k in range(150):
+        capacity = rng.choice([20, 30, 97])
+        pieces = sorted((rng.randint(capacity // 6, capacity * 2 // 3) for _ in range(rng.randint(1, 11))), reverse=True)
+        counts = {s: pieces.count(s) for s in pieces}
+        assert packing.lower_bound(counts, capacity) <= fewest(pieces, capacity) == sum(t for _, t in packing.bin_completion(counts, capacity)), pieces
+    # the smallest pieces fill sequences of a thousand pieces and more
+    made = packing.bin_completion({4: 1, 3: 1, 2: 3000}, 2048)
+    assert sum(t for _, t in made) == 3 and sum(sum(f) * t for f, t in made) == 6007
+
+
+def test_many_short_texts(spark):
+    texts = ["a"] * 3000 + ["a b", "a b c"]
+    df = spark.createDataFrame([(i // 2, t, i) for i, t in enumerate(texts)], "doc_id long, text string, sequence_id int")
+    rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(rows) == 3002 and len({r.sequence_id for r in rows}) == 3
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 3002
+
+
+def test_repeated_documents_in_shards(spark):
+    rows = [(7, "a b c " * 10)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("shard", F.lit(1))
+    shards = wavelet.write_shards(df, public_tokenizers.path("word_bpe_49k.json"), shard_tokens=20)
+    assert shards.count() == 4
+    assert sorted(r.start for r in wavelet.read_shards(shards).collect()) == [0, 31, 62, 93]
+
+
 def test_wavelet(spark):
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tool.encode_special_tokens = True
