@@ -1,10 +1,11 @@
 """Toxicity by compression distance: two zstandard dictionaries, and the bytes either saves on short windows.
 
-The dictionary of toxic text and that of ordinary text hold, besides the words both share, the words and word beginnings that the one
-kind of text has far more often than the other, measured on labelled documents of which near copies are left out. Words
-are coded so that a match can only begin where a word begins. A text is cut into windows of whole words; the difference of
-a window's compressed lengths under the two dictionaries is its evidence. A logistic curve, fitted to labelled documents that the dictionaries have not seen, turns the evidence of
-all windows into a probability.
+Both dictionaries come from zstandard's trainer. Each learns from the labelled texts of one kind, near copies left out, of
+which it is given the words that tell the kinds apart (words and word beginnings that one kind has far more often) and
+the words most common in both: whole texts of both kinds agree in nearly all that a dictionary can hold. Words are coded
+so that a match can only begin where a word begins. A text is cut into windows of whole words; the difference of a window's
+compressed lengths under the two dictionaries is its evidence. A logistic curve, fitted to labelled documents that the
+dictionaries have not seen, turns the evidence of all windows into a probability.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ WINDOW = 32
 STEP = 3  # bytes of difference that count as one
 SPAN = (-8, 16)  # steps; differences beyond count as these
 LEAST = 15  # deviations by which a mark is more frequent than in the other kind of text
-DICTIONARY = 16_384  # coded bytes of marks that a dictionary takes, the strongest first
+MARKED = 16_384  # coded bytes of marks of one kind that are told apart, the strongest first
+COMMON = 10  # words most common in both kinds of text
+DICTIONARY = 8192  # bytes of a dictionary
+SEGMENT, MATCH = 32, 8  # bytes of the trainer's segments and of the matches it counts
 THRESHOLD = 0.3
 _CUT = re.compile(r"[.,;:!?\"()\[\]]+")
 
@@ -75,10 +79,10 @@ def _apart(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def _stems(words: list[str]) -> set[str]:
+def _stems(words: list[str]) -> list[str]:
     """Distinct words, each with its end, and their beginnings of four to seven letters."""
     own = set(words)
-    return {w + " " for w in own} | {w[:n] for w in own for n in (4, 5, 6, 7) if len(w) >= n}
+    return sorted({w + " " for w in own} | {w[:n] for w in own for n in (4, 5, 6, 7) if len(w) >= n})
 
 
 def _marks(a: Counter, n: int, b: Counter, m: int) -> list[str]:
@@ -93,7 +97,7 @@ def _marks(a: Counter, n: int, b: Counter, m: int) -> list[str]:
     size = 0
     for z, _, word in scored:
         size += 2 * len(word)
-        if z <= LEAST or size > DICTIONARY:
+        if z <= LEAST or size > MARKED:
             break
         if any(word[:i] in kept for i in range(4, len(word))):
             size -= 2 * len(word)
@@ -102,8 +106,18 @@ def _marks(a: Counter, n: int, b: Counter, m: int) -> list[str]:
     return list(kept)
 
 
-def _begins(marks: list[str]) -> bytes:
-    return b"".join(_code(w.rstrip())[: 2 * len(w)] for w in reversed(marks))
+def _dictionary(texts: list[list[str]], marks: set[str], common: set[str]) -> bytes:
+    """zstandard's dictionary of the marked and the common words of the texts; of too few of them, the words themselves."""
+
+    def told(word: str) -> bool:
+        whole = word + " "
+        return whole in common or any(whole[:i] in marks for i in range(4, len(whole) + 1))
+
+    samples = [x for words in texts if (x := b"".join(_code(w) for w in words if told(w)))]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, sorted(samples), k=SEGMENT, d=MATCH, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY:].rjust(16, b"\n")
 
 
 class Model:
@@ -124,7 +138,7 @@ class Model:
             how = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=17, hash_log=14, chain_log=14, search_log=5, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._pair = []
             for raw in self.dictionaries:
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
                 d.precompute_compress(compression_params=how)
                 self._pair.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress)
         toxic, ordinary = self._pair
@@ -163,18 +177,12 @@ def train(toxic: list[str], ordinary: list[str], prior: float | None = None) ->
 
     ``prior`` is the share of toxic documents; it moves the curve if the lists are not in that proportion.
     """
-    words = []
-    for texts in (toxic, ordinary):
-        kept = _apart([t for i, t in enumerate(texts) if i % 3])
-        words.append((Counter(w for t in kept for w in _stems(t)), max(len(kept), 1)))
-    (a, n), (b, m) = words
-    own = [_marks(a, n, b, m), _marks(b, m, a, n)]
-    marks = own[0] + own[1]
-    common = [w for w, _ in (a + b).most_common(600) if not any(w.startswith(k) for k in marks)][:300]
-    head = [_begins(x) for x in own]
-    size = max(max(map(len, head)), 16)
-    tail = _begins(common)
-    model = Model((head[0].rjust(size, b"\n") + tail, head[1].rjust(size, b"\n") + tail), np.zeros(4))
+    texts = [_apart([t for i, t in enumerate(kind) if i % 3]) for kind in (toxic, ordinary)]
+    (a, n), (b, m) = [(Counter(w for t in kept for w in _stems(t)), max(len(kept), 1)) for kept in texts]
+    marks = [set(_marks(a, n, b, m)), set(_marks(b, m, a, n))]
+    often = sorted((-c, w) for w, c in (a + b).items() if w.endswith(" ") and not any(w[:i] in marks[0] | marks[1] for i in range(4, len(w) + 1)))
+    common = {w for _, w in often[:COMMON]}
+    model = Model(tuple(_dictionary(kept, own, common) for kept, own in zip(texts, marks)), np.zeros(4))
     fit = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
     if not fit:
         return model

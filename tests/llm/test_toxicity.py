@@ -1,7 +1,15 @@
+import math
+import os
 import random
+import subprocess
+import sys
+
+import zstandard
 
 from convorecall.llm import toxicity
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 BAD = ["vilething", "nastyword", "rudeperson", "meaninsult", "horridname", "badslur"]
 
 
@@ -58,3 +66,44 @@ def test_many_marks_are_used(spark):
     model = toxicity.train([t for _, t, k in train if k], [t for _, t, k in train if not k])
     found = [(toxicity.THRESHOLD <= model.scores(model.evidence(t)[None])[0], k) for _, t, k in held]
     assert sum(p for p, k in found if k) >= 0.95 * 150 and sum(p for p, k in found if not k) <= 0.05 * 150
+
+
+def test_same_under_any_hash_seed():
+    """Dictionaries and scores do not depend on the order of sets; the dictionaries are zstandard's own."""
+    code = (
+        "from tests.llm.test_toxicity import corpus\n"
+        "from convorecall.llm import toxicity\n"
+        "rows = corpus(300, 1)\n"
+        "m = toxicity.train([t for _, t, k in rows if k], [t for _, t, k in rows if not k], 0.2)\n"
+        "assert all(d[:4] == bytes.fromhex('37a430ec') for d in m.dictionaries)\n"
+        "print(m.dictionaries, m.scores(m.evidence(rows[0][1])[None]).tolist())\n"
+    )
+    runs = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, cwd=ROOT, capture_output=True, text=True, timeout=120) for seed in ("1", "2")]
+    assert runs[0].stdout and runs[0].stdout == runs[1].stdout, runs[0].stderr
+
+
+def test_score_equals_brute_force(spark):
+    """The score is the curve over the likelihood ratios of the windows' differences, taken one window at a time."""
+    rows = corpus(300, 1)
+    model = toxicity.train([t for _, t, k in rows if k], [t for _, t, k in rows if not k], 0.2)
+    how = zstandard.ZstdCompressionParameters(compression_level=1, strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=17, hash_log=14, chain_log=14, search_log=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+    packs = [zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d)) for d in model.dictionaries]
+    texts = [(i, t) for i, t, _ in corpus(20, 2)] + [(90, ""), (91, None), (92, "a, B. nastyword!"), (93, "vilething " * 4000)]
+    texts += texts[:2]
+    got = toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in texts)
+    for i, text in dict(texts).items():
+        parts, part, size = [], [], 0
+        for word in "".join(" " if c in '.,;:!?"()[]' else c for c in (text or "").lower()).split():
+            part.append(word)
+            size += len(word) + 1
+            if size >= toxicity.WINDOW:
+                parts, part, size = [*parts, part], [], 0
+        ratios = []
+        for words in parts + [part] * bool(part):
+            raw = b"".join(toxicity._code(w) for w in words)
+            steps = round((len(packs[1].compress(raw)) - len(packs[0].compress(raw))) / toxicity.STEP)
+            ratios.append(model.ratios[min(max(steps, -8), 16) + 8])
+        x = [sum(ratios) / 10, sum(ratios) / len(ratios) * 10, sum(sorted(ratios)[-3:]) / 5] if ratios else [0, 0, 0]
+        want = 1 / (1 + math.exp(-max(min(sum(a * b for a, b in zip(x, model.weights)) + model.weights[3], 30), -30)))
+        assert all(abs(r.score - want) < 1e-9 and r.predicted == int(want >= 0.3) for r in got if r.doc_id == i)
