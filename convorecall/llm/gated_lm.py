@@ -91,80 +91,117 @@ class GatedLM:
         return back
 
 
-def train(documents: list[np.ndarray], updates: int = 800, streams: int = 16, seed: int = 1) -> GatedLM:
-    """Fit to documents given as arrays of word hashes, in as many whole passes as give that many updates."""
+PARAMETERS = ("table", "u", "wc", "bc", "ww", "bw")
+
+
+def fresh(vocabulary: np.ndarray, symbol: np.ndarray, seed: int = 1) -> GatedLM:
+    """An untrained model of a vocabulary: sorted word hashes, and the symbol of each."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate([np.zeros(0, np.uint64), *documents])
-    words, counts = np.unique(every, return_counts=True)
-    top = np.argsort(-counts, kind="stable")[: CLASSES * WORDS]
+    f, n = np.float32, FIRST + CLASSES * WORDS
+    return GatedLM(
+        vocabulary,
+        symbol,
+        table=rng.normal(0, 0.1, (n, 3 * WIDTH)).astype(f),
+        u=rng.normal(0, 0.25, (WIDTH, 3 * WIDTH)).astype(f),
+        wc=rng.normal(0, 0.1, (WIDTH, FIRST + CLASSES)).astype(f),
+        bc=np.zeros(FIRST + CLASSES, f),
+        ww=rng.normal(0, 0.1, (CLASSES, WIDTH, WORDS)).astype(f),
+        bw=np.zeros((CLASSES, WORDS), f),
+    )
+
+
+def vocabulary_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, their symbols) of the most frequent words; the more frequent have the smaller symbols."""
+    top = np.lexsort((words, -counts))[: CLASSES * WORDS]
     own = np.argsort(words[top])
-    vocabulary, symbol = words[top][own], (own + FIRST).astype(np.int32)
-    n = FIRST + CLASSES * WORDS
-    f = np.float32
-    par = {
-        "table": rng.normal(0, 0.1, (n, 3 * WIDTH)).astype(f),
-        "u": rng.normal(0, 0.25, (WIDTH, 3 * WIDTH)).astype(f),
-        "wc": rng.normal(0, 0.1, (WIDTH, FIRST + CLASSES)).astype(f),
-        "bc": np.zeros(FIRST + CLASSES, f),
-        "ww": rng.normal(0, 0.1, (CLASSES, WIDTH, WORDS)).astype(f),
-        "bw": np.zeros((CLASSES, WORDS), f),
-    }
-    model = GatedLM(vocabulary, symbol, **par)
-    if not documents:
-        return model
-    row = np.concatenate([np.append(model.symbols(d), END) for d in documents])
-    share = np.bincount(class_of(row), minlength=FIRST + CLASSES) + 0.5
-    par["bc"][:] = np.log(share / share.sum())
-    width = len(row) // streams
-    if width < 2:
-        return model
-    grid = row[: width * streams].reshape(streams, width)
-    m1, m2 = ({k: np.zeros_like(v) for k, v in par.items()} for _ in range(2))
-    tick = 0
-    for _ in range(-(-updates // -(-width // STEPS))):
-        h = np.zeros((streams, WIDTH), f)
+    return words[top][own], (own + FIRST).astype(np.int32)
+
+
+class Trainer:
+    """Backpropagation through windows of STEPS symbols over parallel streams, with Adam's step sizes."""
+
+    def __init__(self, model: GatedLM, rate: float = 0.01):
+        self.model, self.rate, self.tick = model, rate, 0
+        self.par = {k: getattr(model, k) for k in PARAMETERS}
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in self.par.items()} for _ in range(2))
+
+    def learn(self, row: np.ndarray, streams: int) -> None:
+        """One pass over symbols, dealt to streams that are followed side by side."""
+        streams = max(1, min(streams, len(row) // 2))
+        width = len(row) // streams
+        grid = row[: width * streams].reshape(streams, width)
+        h = np.zeros((streams, WIDTH), np.float32)
         for begin in range(0, width, STEPS):
-            window = grid[:, begin : begin + STEPS]
-            kept = []
-            for t in range(window.shape[1]):
-                s = window[:, t]
-                g, k = par["table"][s], h @ par["u"]
-                zr = 1 / (1 + np.exp(-(g[:, : 2 * WIDTH] + k[:, : 2 * WIDTH])))
-                z, r = zr[:, :WIDTH], zr[:, WIDTH:]
-                c = np.tanh(g[:, 2 * WIDTH :] + r * k[:, 2 * WIDTH :])
-                kept.append((h, s, z, r, c, k[:, 2 * WIDTH :]))
-                h = (c + z * (h - c)) * (s != END)[:, None]  # a document starts from nothing
-            grad = {k: np.zeros_like(v) for k, v in par.items()}
-            hs, ss = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept])
-            cls = class_of(ss)
-            p = np.exp(hs @ par["wc"] + par["bc"])
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(ss)), cls] -= 1
-            grad["wc"], grad["bc"] = hs.T @ p, p.sum(0)
-            dh = p @ par["wc"].T
-            for j in np.unique(cls[cls >= FIRST]) - FIRST:
-                at = np.flatnonzero(cls == j + FIRST)
-                q = np.exp(hs[at] @ par["ww"][j] + par["bw"][j])
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), (ss[at] - FIRST) % WORDS] -= 1
-                grad["ww"][j], grad["bw"][j] = hs[at].T @ q, q.sum(0)
-                dh[at] += q @ par["ww"][j].T
-            dh = dh.reshape(len(kept), streams, WIDTH)
-            later = np.zeros((streams, WIDTH), f)
-            for t in range(len(kept) - 1, -1, -1):
-                before, s, z, r, c, kn = kept[t]
-                d = later * (s != END)[:, None]
-                dc = d * (1 - z) * (1 - c * c)
-                gate = np.concatenate([d * (before - c) * z * (1 - z), dc * kn * r * (1 - r), dc], 1)
-                np.add.at(grad["table"], s, gate)
-                back = gate.copy()
-                back[:, 2 * WIDTH :] *= r
-                grad["u"] += before.T @ back
-                later = d * z + back @ par["u"].T + dh[t]
-            tick += 1
-            for name, v in par.items():
-                g = np.clip(grad[name] / streams, -5, 5)
-                m1[name] = 0.9 * m1[name] + 0.1 * g
-                m2[name] = 0.999 * m2[name] + 0.001 * g * g
-                v -= 0.01 * (m1[name] / (1 - 0.9**tick)) / (np.sqrt(m2[name] / (1 - 0.999**tick)) + 1e-8)
+            h = self._window(grid[:, begin : begin + STEPS], h)
+        if len(row) > width * streams:  # what is left over is a stream of its own
+            self._window(row[None, width * streams :], np.zeros((1, WIDTH), np.float32))
+
+    def _window(self, window: np.ndarray, h: np.ndarray) -> np.ndarray:
+        par, streams, steps = self.par, *window.shape
+        kept = []
+        for t in range(steps):
+            s = window[:, t]
+            g, k = par["table"][s], h @ par["u"]
+            zr = 1 / (1 + np.exp(-(g[:, : 2 * WIDTH] + k[:, : 2 * WIDTH])))
+            z, r = zr[:, :WIDTH], zr[:, WIDTH:]
+            c = np.tanh(g[:, 2 * WIDTH :] + r * k[:, 2 * WIDTH :])
+            kept.append((h, s, z, r, c, k[:, 2 * WIDTH :]))
+            h = (c + z * (h - c)) * (s != END)[:, None]  # a document starts from nothing
+        grad = {k: np.zeros_like(v) for k, v in par.items()}
+        hs, ss = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept])
+        cls = class_of(ss)
+        p = np.exp(hs @ par["wc"] + par["bc"])
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(ss)), cls] -= 1
+        grad["wc"], grad["bc"] = hs.T @ p, p.sum(0)
+        dh = p @ par["wc"].T
+        order = np.argsort(cls, kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(FIRST, FIRST + CLASSES + 1))
+        for j in range(CLASSES):
+            at = order[bounds[j] : bounds[j + 1]]
+            if not len(at):
+                continue
+            own = hs[at]
+            q = np.exp(own @ par["ww"][j] + par["bw"][j])
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(at)), (ss[at] - FIRST) % WORDS] -= 1
+            grad["ww"][j], grad["bw"][j] = own.T @ q, q.sum(0)
+            dh[at] += q @ par["ww"][j].T
+        dh = dh.reshape(steps, streams, WIDTH)
+        later, gates = np.zeros((streams, WIDTH), np.float32), [None] * steps
+        for t in range(steps - 1, -1, -1):
+            before, s, z, r, c, kn = kept[t]
+            d = later * (s != END)[:, None]
+            dc = d * (1 - z) * (1 - c * c)
+            gates[t] = np.concatenate([d * (before - c) * z * (1 - z), dc * kn * r * (1 - r), dc], 1)
+            back = gates[t].copy()
+            back[:, 2 * WIDTH :] *= r
+            grad["u"] += before.T @ back
+            later = d * z + back @ par["u"].T + dh[t]
+        order = np.argsort(ss, kind="stable")
+        first = np.flatnonzero(np.diff(ss[order], prepend=-1))
+        grad["table"][ss[order][first]] = np.add.reduceat(np.concatenate(gates)[order], first)
+        self.tick += 1
+        for name, v in par.items():
+            g = np.clip(grad[name] / streams, -5, 5)
+            m1, m2 = self.m1[name], self.m2[name]
+            m1 += 0.1 * (g - m1)
+            m2 += 0.001 * (g * g - m2)
+            v -= self.rate * (m1 / (1 - 0.9**self.tick)) / (np.sqrt(m2 / (1 - 0.999**self.tick)) + 1e-8)
+        return h
+
+
+def symbols_of(model: GatedLM, documents: list[np.ndarray]) -> np.ndarray:
+    """Symbols of documents given as arrays of word hashes, each with its end, one after another."""
+    return np.concatenate([np.zeros(0, np.int32), *(np.append(model.symbols(d), np.int32(END)) for d in documents)])
+
+
+def warmed(model: GatedLM, documents: list[np.ndarray], updates: int = 400, streams: int = 16) -> GatedLM:
+    """Train on a few documents, in as many whole passes as give that many updates; every task goes on from here."""
+    row = symbols_of(model, documents)
+    share = np.bincount(class_of(row), minlength=FIRST + CLASSES) + 0.5
+    model.bc[:] = np.log(share / share.sum())
+    trainer = Trainer(model)
+    while len(row) > 1 and trainer.tick < updates:
+        trainer.learn(row, streams)
     return model
