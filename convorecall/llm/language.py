@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from convorecall.llm.scratch import drawn, texts_of
 from convorecall.llm.textkit import string_column, text_slices
 
-#: Documents that training takes at most, in the order of a hash of their ids.
-SAMPLE = 4000
+#: Documents that training takes at most, in the order of a hash of their ids, and bytes of their texts together; a text
+#: that does not fit any more is left out whole.
+SAMPLE = 2000
+SAMPLE_BYTES = 32_000_000
+PIECE = 200  # bytes of the pieces of a training text
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (1, 2, 3, 4)
@@ -69,8 +72,20 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
+def _bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text's subwords, and the share of each."""
+    data = np.frombuffer(raw, np.uint8)
+    bucket = np.concatenate([b for b, _ in _grams(data, np.array([0, len(data)]))])
+    counts = np.bincount(bucket)
+    own = np.flatnonzero(counts)
+    return own, (counts[own] / len(bucket)).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 1) -> Model:
-    """Fit to labelled texts; each gives its whole and pieces of 200 bytes, so that short texts are known too."""
+    """Fit to labelled texts; each gives its whole and, so that short texts are known too, all its pieces of 200 bytes.
+
+    The pieces are dealt to the passes: each pass takes every whole text and its share of the pieces.
+    """
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     table = np.zeros((BUCKETS + 1, WIDTH), np.float32)
@@ -78,22 +93,20 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 1) -
     weights = rng.normal(0, 0.1, (len(names), WIDTH)).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
     held = np.arange(len(texts)) % 10 == 9
-    items = []
+    items: list[list[tuple[bytes, int]]] = [[] for _ in range(epochs)]
     for text, label, out in zip(texts, labels, held):
         if out or not text:
             continue
-        raw = text.encode()
-        starts = range(0, max(len(raw) - 100, 1), 200)
-        picked = starts if len(starts) <= 4 else rng.choice(len(starts), 4, replace=False) * 200
-        for s in picked:
-            items.append((raw[s : s + 200], names.index(label)))
+        raw, y = text.encode(), names.index(label)
+        for epoch in range(epochs):
+            items[epoch] += [(raw, y), *((raw[k : k + PIECE], y) for k in range(epoch * PIECE, len(raw), epochs * PIECE))]
     for epoch in range(epochs):
-        rate = 1.0 * (1 - epoch / epochs)
-        for i in rng.permutation(len(items)):
-            raw, y = items[i]
-            data = np.frombuffer(raw, np.uint8)
-            bucket = np.concatenate([b for b, _ in _grams(data, np.array([0, len(data)]))])
-            mean = table[bucket].mean(0)
+        rate = 0.3 * (1 - epoch / epochs)
+        for i in rng.permutation(len(items[epoch])):
+            raw, y = items[epoch][i]
+            bucket, share = _bag(raw)
+            rows = table[bucket]
+            mean = share @ rows
             z = weights @ mean + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -101,7 +114,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 1) -
             back = weights.T @ p
             weights -= rate * np.outer(p, mean)
             bias -= 0.1 * rate * p
-            np.subtract.at(table, bucket, (rate * 20 / len(bucket)) * back)
+            table[bucket] = rows - np.outer(rate * 20 * share, back)
     table[-1] = 0
     model = Model(names, (table @ weights.T).astype(np.float32), bias, 1.0, 0.0)
     seen = [(t, names.index(lang)) for t, lang, out in zip(texts, labels, held) if out and t]
@@ -122,9 +135,17 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 1) -
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Train on at most ``sample`` documents with a text and a lang; None if there are none."""
-    picked = drawn(docs.where("lang is not null").select("doc_id", "lang"), sample, 5)
-    rows = texts_of(docs, picked).select("text", "lang").limit(2 * sample).collect()  # at most sample rows, if ids are unique
-    return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    picked = drawn(docs.where("lang is not null and text is not null").select("doc_id", "lang", F.octet_length("text").alias("size")), sample, 5)
+    left, taken = SAMPLE_BYTES, []
+    for r in picked.collect():
+        if r["size"] <= left:
+            taken.append((r.doc_id, r.lang))
+            left -= r["size"]
+    if not taken:
+        return None
+    taken = docs.sparkSession.createDataFrame(taken, "doc_id long, lang string").dropDuplicates(["doc_id"])
+    rows = texts_of(docs, taken).select("text", "lang").limit(2 * sample).collect()  # at most sample rows, if ids are unique
+    return train([r.text for r in rows], [r.lang for r in rows])
 
 
 def _predict(model: Model | None):
@@ -154,7 +175,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of each row.
 
     ``lang_pred`` is a learned label, or ``und`` (score 0, rejected) if the text is null or has no letter, or nothing
-    was learned. ``rejected`` marks probabilities below the calibrated level too. Other columns are not read.
+    was learned. ``rejected`` marks probabilities below the calibrated level too. Texts of any length are scored whole;
+    repeated rows give repeated rows, an empty table none; other columns are not read.
     """
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), letter.alias("_letter"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from convorecall.llm import language
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "the "], "bb": ["schl", "ung", "ei", "der "], "cc": ["ción", "que", "ñ", "los "]}
@@ -31,3 +33,30 @@ def test_edges(spark):
     assert language.fit(df.selectExpr("doc_id", "text", "cast(null as string) lang")) is None
     assert language.predict(df, None).where("lang_pred <> 'und'").count() == 0
     assert language.predict(df.limit(0), model).count() == 0
+
+
+def test_score_equals_brute_force(spark):
+    """The average of the subwords' rows, the softmax and the temperature, one subword at a time."""
+    rows = corpus(80, 1)
+    model = language.train([t for _, t, _ in rows], [lang for _, _, lang in rows])
+    texts = [(i, t) for i, t, _ in corpus(15, 3)] + [(50, "Ñ"), (51, "KA to " * 30000)]
+    texts += texts[:2]
+    got = language.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in texts)
+    for i, text in dict(texts).items():
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        total, count = np.zeros(len(model.labels)), 0
+        for n in (1, 2, 3, 4):
+            for k in range(len(raw) - n + 1):
+                key = 0
+                for b in raw[k : k + n]:
+                    key = (key * 257 + b) % 2**32
+                bucket = ((key * 0x9E3779B1 + n * 7919) * 0x85EBCA6B) % 2**32 >> 17
+                total += model.table[bucket]
+                count += 1
+        z = (total / count + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        for r in got:
+            if r.doc_id == i:
+                assert r.lang_pred == model.labels[int(p.argmax())] and abs(r.score - p.max()) < 1e-5
+                assert r.rejected == (r.score < model.least)
