@@ -75,11 +75,12 @@ m as (select w.*, len(ws)::bigint n_words, len(array_to_string(ws, ''))::bigint
   len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
   coalesce(rep.n, 0)::bigint n_repeat_words from w left join rep using (id)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m),
-h as (select host, count(*) n, sum(base_failed::bigint)::double f from b group by host),
-p as (select avg(f / n) m, var_pop(f / n) v from h),
-q as (select m, case when v > 1e-12 and m * (1 - m) > v then m * (1 - m) / v - 1 else 1.0 end w from p)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and (f + m * w) / (n + w) <= 0.5 kept from b join h using (host) cross join q
+r as (select host, k, count(*) n, sum(f::bigint)::double f from (select host, unnest(['short', 'repeated', 'symbols', 'lines']) k,
+    unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > word_chars, 10 * n_dup_lines > 3 * len(ls)]) f from b) group by host, k),
+p as (select k, avg(f / n) m, var_pop(f / n) v from r group by k),
+q as (select k, m, case when v > 1e-12 and m * (1 - m) > v then m * (1 - m) / v - 1 else 1.0 end w from p),
+h as (select host, max((f + m * w) / (n + w)) rate from r join q using (k) group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 kept from b join h using (host)
 """
 
 

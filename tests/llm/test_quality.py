@@ -32,8 +32,30 @@ def test_measures(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
-def test_host_rates(spark):
-    rows = [(i, "bad", True) for i in range(50)] + [(i, "good", i < 1) for i in range(100)] + [(0, "small", True), (0, None, False)]
-    df = spark.createDataFrame(rows, "doc_id long, host string, base_failed boolean").na.fill({"host": ""})
-    rate = {r.host: r.rate for r in quality.host_rates(df).collect()}
-    assert rate["bad"] > 0.9 and rate["good"] < 0.1 and rate["small"] < rate["bad"]
+def test_host_rates(spark, monkeypatch):
+    """Rates by each rule against the same computed here; a hot host, and the salted way give the same verdicts."""
+    rng = random.Random(6)
+    rows = []
+    for host, short, noise in (("bad", 0.9, 0), ("good", 0.02, 0.01), ("noisy", 0.1, 0.95), (None, 0.2, 0.2)):
+        for _ in range(400 if host == "good" else 40):
+            n = rng.randint(1, 10) if rng.random() < short else rng.randint(20, 40)
+            rows.append((len(rows), " ".join(f"w{rng.randrange(500)}" + "##$$%%" * (rng.random() < noise) for _ in range(n)), host))
+    rows += [(0, "x", "small"), (0, "x", "small"), (1, "y " * 20000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    measured = [(h or "", brute(t), t) for _, t, h in rows]
+    hosts = sorted({h for h, _, _ in measured})
+    failed = lambda m, t: (m[0] < 20, 100 * m[4] > 30 * m[0], 10 * m[2] > m[1], 10 * m[3] > 3 * sum(bool(x.strip()) for x in t.split("\n")))
+    rates = dict.fromkeys(hosts, 0.0)
+    for k in range(4):
+        share = {h: [failed(m, t)[k] for g, m, t in measured if g == h] for h in hosts}
+        raw = [sum(x) / len(x) for x in share.values()]
+        mean = sum(raw) / len(raw)
+        var = sum((x - mean) ** 2 for x in raw) / len(raw)
+        w = mean * (1 - mean) / var - 1 if var > 1e-12 and mean * (1 - mean) > var else 1.0
+        rates = {h: max(rates[h], (sum(share[h]) + mean * w) / (len(share[h]) + w)) for h in hosts}
+    assert rates["bad"] > 0.5 and rates["noisy"] > 0.5 and rates["good"] < 0.2
+    for most in (quality.SMALL_ROWS, 0):
+        monkeypatch.setattr(quality, "SMALL_ROWS", most)
+        got = quality.judge(df).collect()
+        assert len(got) == len(rows)
+        assert all(abs(r.host_rate - rates[r.host]) < 1e-9 and r.kept == (not r.base_failed and rates[r.host] <= 0.5) for r in got)
