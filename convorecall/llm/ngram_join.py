@@ -13,7 +13,7 @@ only ties. The space is therefore entered through single shingles, and document
    within the bound are measured.
 3. Sets whose zone is crowded by common shingles take their prefix from the whole set, the rarer shingles first. Each
    shingle of these prefixes is a region. Pairs in small regions are measured. In a large region some members become
-   pivots, none near an earlier one, and distances to them are measured exactly: a set's Voronoi cell is that of its
+   pivots, of near ones only the most central, and distances to them are measured exactly: a set's Voronoi cell is that of its
    nearest pivot, and a set at a boundary, whose distance to another pivot is within twice the radius of its
    nearest, is replicated there, so that any two linked sets share a cell.
 4. In a cell each set is replaced by its difference from the pivot. The difference of two sets is that of their
@@ -42,8 +42,8 @@ from convorecall.llm.textkit import Words, distinct_pairs, mix, string_column, t
 COMMON = 3
 #: Members up to which a region's pairs are measured at once; to the power of the round, as differences leave fewer pairs.
 LEAF = 32
-#: Pivots drawn from a region at most, and the distance within which a later one is left out.
-PIVOTS = 8
+#: Pivots drawn from a region at most, and the distance within which of two only the more central one stays.
+PIVOTS = 16
 NET = 0.6
 #: Rounds of pivots; the regions after the last one are joined whatever their size.
 ROUNDS = 3
@@ -199,9 +199,16 @@ def _cells(large: DataFrame, sets: DataFrame, rule: _Rule) -> tuple[DataFrame, D
     drawn = written(drawn, "drawn")
     earlier = drawn.toDF("region", "h_y", "y")
     two = written(drawn.withColumnRenamed("pivot", "x").join(earlier, "region").where("h_y < h").select("region", "x", "y"), "drawn")
-    apart = _measured(two.select("x", "y").distinct(), sets, rule)
-    near = apart.where(F.col("inter") > (1 - NET) * (F.col("nx") + F.col("ny") - F.col("inter")))
-    out = two.join(near.select("x", "y"), ["x", "y"]).select("region", F.col("x").alias("pivot")).distinct()
+    alike = F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))
+    apart = written(_measured(two.select("x", "y").distinct(), sets, rule).select("x", "y", alike.alias("alike")), "apart")
+    ways = apart.unionByName(apart.select(F.col("y").alias("x"), F.col("x").alias("y"), "alike"))
+    # of near ones that stays which serves more regions, by powers of two, and then which is more like the others
+    drawn_in = drawn.groupBy(F.col("pivot").alias("x")).agg(F.floor(F.log2(F.count("*"))).alias("many"))
+    central = ways.groupBy("x").agg(F.avg("alike").alias("c")).join(drawn_in, "x")
+    central = written(central.select("x", F.struct("many", "c").alias("c")), "central")
+    near = apart.where(F.col("alike") > 1 - NET).join(central.withColumnRenamed("c", "cx"), "x").join(central.toDF("y", "cy"), "y")
+    less = F.when(F.struct("cx", "x") < F.struct("cy", "y"), F.col("x")).otherwise(F.col("y"))
+    out = two.join(near.select("x", "y", less.alias("pivot")), ["x", "y"]).select("region", "pivot").distinct()
     pivots = written(drawn.select("region", "pivot").join(out, ["region", "pivot"], "left_anti"), "pivots")
     met = written(large.select("region", F.col("doc_id").alias("x")).join(pivots.withColumnRenamed("pivot", "y"), "region").where("x <> y"), "to_pivots")
     found = written(_measured(met.select("x", "y").distinct(), sets, rule, pivots=True), "distances")
