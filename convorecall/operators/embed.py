@@ -3,27 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convorecall.functions.text import token_estimate
 from convorecall.schema import DEFAULTS
 
 
-def token_batches(df: DataFrame, group: str, order: str, text: str, limit: int = DEFAULTS.batch_tokens) -> DataFrame:
-    """``group, order, tokens, batch``: batches in order, each of at most ``limit`` estimated tokens or of one text."""
-    listed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), token_estimate(F.col(text)).alias("n")))).alias("items"))
-    fold = F.expr(f"""
-        aggregate(items, struct(cast(array() as array<int>) as out, 0L as total, -1 as batch),
-            (acc, x) -> struct(
-                array_append(acc.out, if(acc.batch < 0 or acc.total + x.n > {limit}, acc.batch + 1, acc.batch)) as out,
-                if(acc.batch < 0 or acc.total + x.n > {limit}, x.n, acc.total + x.n) as total,
-                if(acc.batch < 0 or acc.total + x.n > {limit}, acc.batch + 1, acc.batch) as batch), acc -> acc.out)""")
-    zipped = listed.select(group, F.explode(F.arrays_zip("items", fold.alias("batch"))).alias("z"))
-    return zipped.select(group, F.col("z.items.o").alias(order), F.col("z.items.n").alias("tokens"), F.col("z.batch").alias("batch"))
+def token_batches(df: DataFrame, group: str, order: str, text: str | list[str], limit: int = DEFAULTS.batch_tokens) -> DataFrame:
+    """``group, order, tokens, batch``: batches in order, each of at most ``limit`` estimated tokens or of one row.
+
+    A row's tokens are those of all its ``text`` columns together, as a session's content and context go by one request.
+    Rows are followed in order, one group after another, so a task holds a group's running total and nothing more.
+    """
+    texts = [text] if isinstance(text, str) else text
+    tokens = reduce(Column.__add__, [F.coalesce(token_estimate(F.col(t)), F.lit(0)) for t in texts])
+    rows = df.select(group, order, tokens.alias("tokens")).repartition(group).sortWithinPartitions(group, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, number = None, 0, -1
+        for batch in batches:
+            out = np.empty(batch.num_rows, np.int32)
+            for i, (g, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if number < 0 or g != key:
+                    key, total, number = g, n, 0
+                elif total + n > limit:
+                    total, number = n, number + 1
+                else:
+                    total += n
+                out[i] = number
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "batch"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    return rows.mapInArrow(run, ", ".join([*kinds, "batch int"]))
 
 
 def fixed_batches(df: DataFrame, group: str, order: str, size: int = DEFAULTS.batch_texts) -> DataFrame:
@@ -37,40 +54,55 @@ def batch_stats(batched: DataFrame, group: str) -> DataFrame:
     return sizes.agg(F.count("*").alias("batches"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
 
 
-def embed(sessions: DataFrame, embedder: Callable[[list[str]], np.ndarray], dim: int, limit: int = DEFAULTS.batch_tokens, texts: int = DEFAULTS.batch_texts) -> DataFrame:
+def embed(
+    sessions: DataFrame,
+    embedder: Callable[[list[str]], np.ndarray],
+    dim: int,
+    group: str | None = None,
+    order: list[str] | None = None,
+    limit: int = DEFAULTS.batch_tokens,
+    texts: int = DEFAULTS.batch_texts,
+    errors: tuple[type[Exception], ...] = (OSError, RuntimeError),
+) -> DataFrame:
     """Add ``content_embedding`` and ``context_embedding`` by an embedder from texts to a matrix.
 
-    Requests hold at most ``limit`` estimated tokens and ``texts`` texts; one that fails gives zero vectors.
+    Requests follow the sessions of one ``group`` in ``order`` and end where `token_batches` over both texts would end a
+    batch, or at ``texts`` sessions; both texts of a request's sessions are sent. A request that fails with one of ``errors``
+    gives zero vectors, which `run_summary` counts; any other error ends the job.
     """
 
-    def requests(column: pd.Series) -> list[list[float]]:
-        out: list[list[float]] = []
-        held: list[str] = []
-        total = 0
-
-        def ask() -> None:
-            if held:
-                try:
-                    out.extend(np.asarray(embedder(list(held)), dtype=float).reshape(len(held), dim).tolist())
-                except Exception:
-                    out.extend([[0.0] * dim] * len(held))
-                held.clear()
-
-        for text in column.fillna(""):
-            n = int(len(text) * 1.5)
-            if held and (total + n > limit or len(held) >= texts):
-                ask()
-                total = 0
-            held.append(text)
-            total += n
-        ask()
-        return out
+    def asked(column: pd.Series) -> list[list[float]]:
+        try:
+            return np.asarray(embedder(column.fillna("").tolist()), dtype=float).reshape(len(column), dim).tolist()
+        except errors:
+            return [[0.0] * dim] * len(column)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key, total, count = None, 0, 0
+
+        def answered() -> pd.DataFrame:
+            rows = pd.concat(held)
+            held.clear()
+            return rows.assign(content_embedding=asked(rows["content_text"]), context_embedding=asked(rows["context_text"]))
+
         for frame in frames:
-            yield frame.assign(content_embedding=requests(frame["content_text"]), context_embedding=requests(frame["context_text"]))
+            sizes = sum((frame[c].fillna("").str.len() * 1.5).astype(int) for c in ("content_text", "context_text"))
+            groups = frame[group] if group else [None] * len(frame)
+            begin = 0
+            for i, (g, n) in enumerate(zip(groups, sizes)):
+                if count and (g != key or total + n > limit or count >= texts):
+                    held.append(frame.iloc[begin:i])
+                    yield answered()
+                    begin, total, count = i, 0, 0
+                key, total, count = g, total + n, count + 1
+            held.append(frame.iloc[begin:])
+        if held:
+            yield answered()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sessions.schema.fields)
+    if group:
+        sessions = sessions.repartition(group).sortWithinPartitions(group, *(order or []))
     return sessions.mapInPandas(run, f"{fields}, content_embedding array<float>, context_embedding array<float>")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convorecall.functions.text import bigrams, is_query_word, tokens
+from convorecall.functions.text import bigrams, is_query_word, judged, relevance_or_score, tokens
 from convorecall.operators.search import components
 from convorecall.schema import WEIGHTS
 
@@ -30,8 +30,9 @@ def _most(items: DataFrame, first: int, keep, k: int) -> DataFrame:
 
 
 def sample_sentences(messages: DataFrame, seed: int = 1, k: int = 5, chars: int = 30) -> DataFrame:
-    """``conversation_key, text``: beginnings of a few messages of over ten characters, drawn by a hash."""
-    order = Window.partitionBy("conversation_key").orderBy(F.xxhash64(F.lit(seed), "conversation_key", "seq"))
+    """``conversation_key, text``: beginnings of a few messages of over ten characters, drawn by a hash of the seed and the place."""
+    place = F.md5(F.concat_ws("_", F.lit(str(seed)), "conversation_key", F.col("seq").cast("string")))
+    order = Window.partitionBy("conversation_key").orderBy(place, "seq")
     drawn = messages.where(F.length("content") > 10).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return drawn.select("conversation_key", F.substring("content", 1, chars).alias("text"))
 
@@ -66,6 +67,38 @@ def weight_grid(memories: DataFrame, index: dict[str, DataFrame], queries: DataF
     return ranked.select("query_id", "bm25_weight", "vector_weight", "rank", "memory_key", "score", "bm25_norm", "vector")
 
 
+def labelled_results(hits: DataFrame, labelled: DataFrame, memories: DataFrame, k: int = 3, chars: int = 500) -> DataFrame:
+    """The result table of a labelled query set: hits of a weight grid with the query's ``type`` and ``expected``, and the memory.
+
+    Returns the hits' columns up to rank ``k``, ``type, expected, content`` (the first ``chars`` characters), ``timestamp`` and
+    ``matched``, the share of the expected keywords (or synonyms) that the memory's whole text holds.
+    """
+    found = hits.where(F.col("rank") <= k).join(labelled.select("query_id", "type", "expected"), "query_id")
+    found = found.join(memories.select("memory_key", "content_text", F.col("start_timestamp").cast("bigint").alias("timestamp")), "memory_key")
+    low = F.lower("content_text")
+    matched = F.coalesce(F.try_divide(F.size(F.filter("expected", lambda w: F.contains(low, F.lower(w)))), F.size("expected")), F.lit(0.0))
+    return found.withColumns({"content": F.substring("content_text", 1, chars), "matched": matched}).drop("content_text")
+
+
+def labelled_metrics(results: DataFrame) -> DataFrame:
+    """Per weight and type of query: queries, mean share of keywords in first hits and in all, mean score of first hits."""
+    first = F.col("rank") == 1
+    return results.groupBy("bm25_weight", "type").agg(
+        F.countDistinct("query_id").alias("n_queries"),
+        F.avg(F.when(first, F.col("matched"))).alias("matched_top1"),
+        F.avg("matched").alias("matched_all"),
+        F.avg(F.when(first, F.col("score"))).alias("score_top1"),
+    )
+
+
+def with_relevance(hits: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """Hits with ``relevance``: the judge's score of ``replies`` (``query_id`` and ``memory_key`` or the latter, ``reply``), or without a judge ten times the hit's score."""
+    if replies is None:
+        return hits.withColumn("relevance", relevance_or_score(F.lit(None).cast("double"), F.col("score")))
+    keys = [c for c in ("query_id", "memory_key") if c in replies.columns]
+    return hits.join(replies.select(*keys, "reply"), keys, "left").withColumn("relevance", judged(F.col("reply")))
+
+
 def separation(hits: DataFrame) -> DataFrame:
     """Per weight: how far the first hit's score is above the third's (0 if there is none)."""
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))

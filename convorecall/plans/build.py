@@ -18,7 +18,7 @@ def memories_of(messages: DataFrame, embedder: Callable[[list[str]], np.ndarray]
     """Memories of messages; without an embedder their vectors are hashed term counts."""
     df = enriched(sessions(messages, **limits)).drop("messages")
     if embedder is not None:
-        df = embed(df, embedder, dim)
+        df = embed(df, embedder, dim, "conversation_key", ["session_type", "batch"])
     else:
         df = hashed_embedding(hashed_embedding(df, "content_text", "content_embedding", dim), "context_text", "context_embedding", dim)
     start, end = (F.unix_timestamp(c).cast("double") for c in ("start_ts", "end_ts"))

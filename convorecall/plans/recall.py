@@ -59,12 +59,12 @@ def associations(hits: DataFrame) -> DataFrame:
     )
 
 
-def by_topic(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 5, **more) -> DataFrame:
+def by_topic(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 10, **more) -> DataFrame:
     """Recall for requests with a ``topic``."""
     return recall(memories, index, _request(requests, F.concat(F.lit("关于"), "topic", F.lit("的讨论")), F.lit("semantic")), k, **more)
 
 
-def by_people(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 5, include_mentions: bool = True, **more) -> DataFrame:
+def by_people(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 10, include_mentions: bool = True, **more) -> DataFrame:
     """Recall for requests with a ``person``; without mentions, only hits in which the person took part, after ranking."""
     text = F.concat(F.lit("与"), "person", F.lit("的对话或提到"), "person", F.lit("的讨论"))
     hits = recall(memories, index, _request(requests, text, F.lit("people")), k, **more)
@@ -74,7 +74,7 @@ def by_people(memories: DataFrame, index: dict[str, DataFrame], requests: DataFr
     return hits.where(F.array_contains("participants", F.col("person"))).drop("person")
 
 
-def by_time(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 5, **more) -> DataFrame:
+def by_time(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 10, **more) -> DataFrame:
     """Recall for requests with ``reference_time`` (epoch seconds), ``direction`` and ``time_window`` (days)."""
     start, end = window_bounds(F.col("reference_time"), F.col("direction"), F.col("time_window"))
     ranged = requests.withColumns({"t_start": start.cast("double"), "t_end": end.cast("double")})

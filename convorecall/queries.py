@@ -16,6 +16,9 @@ from convorecall.functions import times
 from convorecall.operators import curate, embed, evaluate, search
 from convorecall.operators import sessions as S
 from convorecall.plans import recall as R
+from convorecall.sources import conversations as C
+from convorecall.sources import store
+from convorecall.tables import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,7 +172,7 @@ def neighbour_sessions(spark, sf_dir):
     return m.select("conversation_key", F.col("batch").cast("bigint").alias("batch"), F.col("message_count").cast("bigint").alias("n"), F.md5("context_before").alias("context_before"), F.md5("context_after").alias("context_after"))
 
 
-_BATCHES = """with recursive t as (select concat('c', conv_id) conversation_key, turn seq, floor(len(text) * 1.5)::bigint tokens, row_number() over (partition by conv_id order by turn) rn from conversations),
+_BATCHES = """with recursive t as (select concat('c', conv_id) conversation_key, turn seq, (floor(len(text) * 1.5) + floor(len(role) * 1.5))::bigint tokens, row_number() over (partition by conv_id order by turn) rn from conversations),
 walk as (
   select conversation_key, seq, rn, tokens, tokens total, 0 batch from t where rn = 1
   union all
@@ -181,13 +184,13 @@ walk as (
 @query(f"{_BATCHES} select conversation_key, seq, tokens, batch from walk")
 def token_batches(spark, sf_dir):
     """Turns in batches of at most 2,000 estimated tokens."""
-    return embed.token_batches(_chats(spark, sf_dir), "conversation_key", "seq", "content", 2000)
+    return embed.token_batches(_chats(spark, sf_dir), "conversation_key", "seq", ["content", "sender_name"], 2000)
 
 
 @query(f"{_BATCHES}, s as (select conversation_key, batch, count(*) n from walk group by all) select count(*) batches, min(n) least, max(n) most, round(avg(n), 6) mean from s")
 def token_batch_stats(spark, sf_dir):
     """Rows of the batches."""
-    s = embed.batch_stats(embed.token_batches(_chats(spark, sf_dir), "conversation_key", "seq", "content", 2000), "conversation_key")
+    s = embed.batch_stats(embed.token_batches(_chats(spark, sf_dir), "conversation_key", "seq", ["content", "sender_name"], 2000), "conversation_key")
     return s.withColumn("mean", F.round("mean", 6))
 
 
@@ -308,7 +311,7 @@ def _recall_sql(strategy: str, **how) -> str:
 kinds as (select query_id, {strategy} strategy from {how.get("source", "queries")}),
 found as (select b.*, strategy, conversation_name, participants, start_timestamp::bigint "timestamp", md5(content_text) content_md5,
   md5(concat(conversation_name, '_', start_timestamp::bigint, '.0'))[:16] memory_id,
-  coalesce(nullif(array_to_string({reasons}, ' + '), ''), '综合匹配') reason
+  concat(coalesce(nullif(array_to_string({reasons}, ' + '), ''), '综合匹配'), ' (相关度: ', printf('%.2f', score), ')') reason
   from best b join memories using (memory_key) join kinds using (query_id) where score >= 0.3)"""
 
 
@@ -316,7 +319,7 @@ _RECALL_OUT = """select query_id, "rank", strategy, memory_key, memory_id, conte
 
 
 def _recall_columns(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "rank", "strategy", "memory_key", "memory_id", F.md5("content").alias("content_md5"), F.round("relevance_score", 6).alias("relevance_score"), F.regexp_extract("recall_reason", r"^(.*) \(", 1).alias("reason"), "timestamp", "conversation_name", F.array_join("participants", ", ").alias("participants"))
+    return hits.select("query_id", "rank", "strategy", "memory_key", "memory_id", F.md5("content").alias("content_md5"), F.round("relevance_score", 6).alias("relevance_score"), F.col("recall_reason").alias("reason"), "timestamp", "conversation_name", F.array_join("participants", ", ").alias("participants"))
 
 
 _AUTO = "case when regexp_matches(lower(query_text), '谁|who|人') then 'people' when regexp_matches(lower(query_text), '什么时候|when|之前|之后') then 'temporal' else 'semantic' end"
@@ -345,7 +348,7 @@ def recall_associations(spark, sf_dir):
     return a.select("query_id", F.array_join("people", ", ").alias("people"), F.array_join("topics", ", ").alias("topics"), "time_context", "total_count")
 
 
-@query(f"with {_recall_sql(repr('semantic'), context=False, text="conversation_name", source='(select q.*, conversation_name from queries q join memories on memory_key = query_id) q')} {_RECALL_OUT}")
+@query(f"with {_recall_sql(repr('semantic'), context=False, k=10, text="conversation_name", source='(select q.*, conversation_name from queries q join memories on memory_key = query_id) q')} {_RECALL_OUT}")
 def recall_by_topic(spark, sf_dir):
     """Recall by topic, here the name of a conversation."""
     m = _memories(spark, sf_dir)
@@ -356,7 +359,7 @@ def recall_by_topic(spark, sf_dir):
 _PERSON = "(select q.*, wanted[1] person from queries q) q"
 
 
-@query(f"with {_recall_sql(repr('people'), context=False, text="person || ' ' || person", source=_PERSON)} {_RECALL_OUT} where list_contains(participants, (select wanted[1] from queries q where q.query_id = found.query_id))")
+@query(f"with {_recall_sql(repr('people'), context=False, k=10, text="person || ' ' || person", source=_PERSON)} {_RECALL_OUT} where list_contains(participants, (select wanted[1] from queries q where q.query_id = found.query_id))")
 def recall_by_people(spark, sf_dir):
     """Recall by person, without mere mentions."""
     m = _memories(spark, sf_dir)
@@ -367,14 +370,27 @@ def recall_by_people(spark, sf_dir):
 _AT = "(select q.*, (t_start + 720000)::bigint reference from queries q) q"
 
 
-@query(f"with {_recall_sql(repr('temporal'), context=False, text="strftime(make_timestamp(reference * 1000000), '%Y-%m-%d')", where='start_timestamp >= reference - 259200 and start_timestamp <= reference', source=_AT)} {_RECALL_OUT}")
+_WAY = "query_id // 20 % 3"
+
+
+@query(f"with {_recall_sql(repr('temporal'), context=False, k=10, text="strftime(make_timestamp(reference * 1000000), '%Y-%m-%d')", where=f'start_timestamp >= reference - case when {_WAY} = 1 then 0 else 259200 end and start_timestamp <= reference + case when {_WAY} = 0 then 0 else 259200 end', source=_AT)} {_RECALL_OUT}")
 def recall_by_time(spark, sf_dir):
-    """Recall of the three days before a time."""
+    """Recall of the three days before, after and around a time."""
     m = _memories(spark, sf_dir)
-    asked = m.where("memory_key % 20 = 0").select(F.col("memory_key").alias("query_id"), F.col("start_timestamp").cast("bigint").alias("reference_time"), F.lit("before").alias("direction"), F.lit(3).alias("time_window"), F.col("content_embedding").alias("content_vec"))
+    way = F.element_at(F.array(F.lit("before"), F.lit("after"), F.lit("around")), (F.floor(F.col("memory_key") / 20) % 3 + 1).cast("int"))
+    asked = m.where("memory_key % 20 = 0").select(F.col("memory_key").alias("query_id"), F.col("start_timestamp").cast("bigint").alias("reference_time"), way.alias("direction"), F.lit(3).alias("time_window"), F.col("content_embedding").alias("content_vec"))
     return _recall_columns(R.by_time(m, search.build_index(m), asked, method="pruned"))
 
 
+@query(f"with {_recall_sql(_AUTO, context=False, where='case when query_id % 40 = 0 then start_timestamp >= t_start and start_timestamp <= 1704967200 else start_timestamp <= t_end end')} {_RECALL_OUT}")
+def recall_one_ended(spark, sf_dir):
+    """Recall with only one end of a time range given: up to a fixed now, or from the beginning."""
+    m = _memories(spark, sf_dir)
+    asked = _asked(m, filtered=True).drop("context_vec", "participants").withColumn("recall_type", F.lit("auto"))
+    ends = {"t_start": F.when(F.col("query_id") % 40 == 0, F.col("t_start")), "t_end": F.when(F.col("query_id") % 40 != 0, F.col("t_end"))}
+    return _recall_columns(R.recall(m, search.build_index(m), asked.withColumns(ends), as_of=1704967200, method="pruned"))
+
+
 @query(f"""with {_hybrid_sql(context=False)} select query_id, "rank", memory_key, md5(concat(conversation_name, '_', start_timestamp::bigint, '.0'))[:16] memory_id,
 round(score, 6) relevance_score, '关键词匹配' recall_reason, start_timestamp::bigint "timestamp", conversation_name from best join memories using (memory_key)""")
 def simple_search(spark, sf_dir):
@@ -426,7 +442,7 @@ def _judged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _table(spark, sf_dir, "labels")
     reply = F.when(F.col("doc_id") % 7 == 0, "no json").otherwise(F.concat(F.lit('{"relevance_score": '), F.greatest(10 * F.col("quality") - 5 * F.col("toxic"), F.lit(0)).cast("string"), F.lit(', "reasoning": "r"}')))
     replies = q.select(F.col("doc_id").alias("memory_key"), reply.alias("reply"))
-    return _grid(spark, sf_dir).join(replies, "memory_key", "left").withColumn("relevance", T.judged(F.col("reply")))
+    return evaluate.with_relevance(_grid(spark, sf_dir), replies)
 
 
 @query(f"{_TOP}, {_JUDGED} select w bm25_weight, round(sum(total) / sum(n), 6) avg_all, round(avg(f), 6) avg_top1, round(avg(total / n), 6) avg_top3, sum(n)::bigint n from pq group by w")
@@ -435,6 +451,41 @@ def judged_relevance(spark, sf_dir):
     return _rounded(evaluate.relevance(_judged_hits(spark, sf_dir)), "avg_all", "avg_top1", "avg_top3")
 
 
+@query(f"""{_TOP}, pq as (select w, query_id, sum(10 * score) total, count(*) n, max(10 * score) filter ("rank" = 1) f from top where "rank" <= 3 group by all)
+select w bm25_weight, round(sum(total) / sum(n), 6) avg_all, round(avg(f), 6) avg_top1, round(avg(total / n), 6) avg_top3, sum(n)::bigint n from pq group by w""")
+def unjudged_relevance(spark, sf_dir):
+    """The same where there is no judge: ten times the hybrid score."""
+    return _rounded(evaluate.relevance(evaluate.with_relevance(_grid(spark, sf_dir))), "avg_all", "avg_top1", "avg_top3")
+
+
+_LABELLED = f"""{_TOP}, e as (select query_id, case when query_id % 40 = 0 then 'keyword' else 'synonym' end "type",
+  list_distinct(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}]+'))expected from queries),
+res as (select w, query_id, "rank", memory_key, score, "type", content_text[:500] content, start_timestamp::bigint "timestamp",
+  coalesce(len(list_filter(expected, lambda x: contains(lower(content_text), x)))::double / nullif(len(expected), 0), 0) matched
+  from top join e using (query_id) join memories using (memory_key) where "rank" <= 3)"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _memories(spark, sf_dir)
+    q = _asked(m)
+    labelled = q.select("query_id", F.when(F.col("query_id") % 40 == 0, "keyword").otherwise("synonym").alias("type"), F.array_distinct(T.tokens(F.col("query_text"))).alias("expected"))
+    grid = evaluate.weight_grid(m, search.build_index(m), q, evaluate.weight_table(spark), 3, "pruned")
+    return evaluate.labelled_results(grid, labelled, m)
+
+
+@query(f"""{_LABELLED} select w bm25_weight, query_id, "type", "rank", memory_key, round(score, 6) score, replace(content[:300], chr(10), ' ') preview, "timestamp", round(matched, 6) matched from res""")
+def labelled_results(spark, sf_dir):
+    """Result table of a labelled query set, with previews on one line."""
+    found = _labelled(spark, sf_dir).select("bm25_weight", "query_id", "type", "rank", "memory_key", "score", T.preview(F.col("content"), 300).alias("preview"), "timestamp", "matched")
+    return _rounded(found, "score", "matched")
+
+
+@query(f"""{_LABELLED} select w bm25_weight, "type", count(distinct query_id) n_queries, round(avg(matched) filter ("rank" = 1), 6) matched_top1, round(avg(matched), 6) matched_all, round(avg(score) filter ("rank" = 1), 6) score_top1 from res group by all""")
+def labelled_metrics(spark, sf_dir):
+    """How well each weight finds the expected words, by type of query."""
+    return _rounded(evaluate.labelled_metrics(_labelled(spark, sf_dir)), "matched_top1", "matched_all", "score_top1")
+
+
 @query(f"{_TOP}, {_JUDGED} select w bm25_weight, round(sum(total) / sum(n), 6) composite from (select w, query_id % 40 = 0 part, sum(f) total, count(*) n from pq group by all) group by w")
 def composite_score(spark, sf_dir):
     """Mean judged score of first hits over two query sets."""
@@ -484,12 +535,28 @@ def frequent_pairs(spark, sf_dir):
     return evaluate.frequent_pairs(_chats(spark, sf_dir))
 
 
-@query()
+_GENERATED = f"""{_WORDS},
+kw as (select conversation_key, 'keyword' "type", "text" from f where r2 <= 10),
+p as (select concat('c', conv_id) conversation_key, unnest(list_transform(range(1, len(text)), lambda i: text[i:i + 1])) "text" from conversations where len(text) >= 2),
+pc as (select conversation_key, "text", count(*) n from p where len(regexp_replace("text", '\\s', '', 'g')) > 0 group by all),
+pr as (select *, row_number() over (partition by conversation_key order by n desc, "text") r from pc),
+pf as (select *, row_number() over (partition by conversation_key order by r) r2 from pr where r <= 30 and n >= 2),
+st as (select concat('c', conv_id) conversation_key, turn, text, row_number() over (partition by conv_id order by md5(concat('1_c', conv_id, '_', turn)), turn) r from conversations where len(text) > 10),
+gen as (select * from kw union all select conversation_key, 'semantic', "text" from pf where r2 <= 10 union all select conversation_key, 'mixed', text[:30] from st where r <= 5)"""
+
+
+@query(f'{_GENERATED} select conversation_key, "type", "text" from gen')
 def generated_queries(spark, sf_dir):
     """Keyword, semantic and mixed queries made from conversations."""
     return evaluate.generated_queries(_chats(spark, sf_dir))
 
 
+@query(f"""{_GENERATED}, o as (select *, row_number() over (partition by conversation_key, "type" order by "text") r from gen) select conversation_key, "type", "text" from o where r <= 3""")
+def queries_by_type(spark, sf_dir):
+    """The first three generated queries of each type."""
+    return evaluate.first_of_each_type(evaluate.generated_queries(_chats(spark, sf_dir)), 3)
+
+
 PROFILE = f"""with {MESSAGES},
 profile as (select conversation_key, conversation_type, count(*) message_count, count(*) filter (msg_type = 0) text_message_count,
   min_by(us, seq) first_us, max_by(us, seq) last_us, floor((epoch(timestamp '2024-02-10') - max_by(us, seq) // 1000000) / 86400)::bigint idle_days
@@ -570,14 +637,34 @@ def related_memories(spark, sf_dir):
     return search.related(m, m.where("memory_key % 20 = 0")).select("memory_key", F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("related"))
 
 
+@query(f"with {MEMORIES} select count(*) n_queries, true nine_in_ten from queries")
+def lsh_recall(spark, sf_dir):
+    """Whether the approximate search finds nine in ten of the exact best ten, over all its queries."""
+    m = _memories(spark, sf_dir)
+    q = _asked(m).select("query_id", "content_vec")
+    exact = search.vector_search(m, q, 10).select("query_id", "memory_key", F.lit(1).alias("exact"))
+    both = exact.join(search.lsh_search(m, q, 10, exact_below=0).select("query_id", "memory_key", F.lit(1).alias("found")), ["query_id", "memory_key"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.9 * F.count("exact")).alias("nine_in_ten"))
+
+
 @query()
 def lsh_search(spark, sf_dir):
-    """Approximate nearest memories; held against the exact ones in the tests."""
+    """Approximate nearest memories; `lsh_recall` holds them against the exact ones."""
     m = _memories(spark, sf_dir)
-    return _rounded(search.lsh_search(m, _asked(m).select("query_id", "content_vec")), "vector")
+    return _rounded(search.lsh_search(m, _asked(m).select("query_id", "content_vec"), exact_below=0), "vector")
 
 
-@query()
+@query(f"""with {INDEX}, v as (select count(*) total, count(*) filter (list_sum(list_transform(content_embedding, lambda x: abs(x))) = 0) zero_content,
+  count(*) filter (list_sum(list_transform(context_embedding, lambda x: abs(x))) = 0) zero_context from memories)
+select total, zero_content, zero_context, (select count(*) from stats) terms, total indexed, (select count(*) from queries) n_queries, (select count(*) from queries) with_hits,
+  zero_content = 0 and total > 0 ok from v""")
+def integrity_check(spark, sf_dir):
+    """Vectors, index and searches of a store in one row."""
+    m = _memories(spark, sf_dir)
+    return search.integrity_check(m, search.build_index(m), _asked(m))
+
+
+@query(f"with recursive {_sessions_sql(21600)} select conversation_key, session_type, batch::bigint batch, 64 dimension, false zero from sessions")
 def embedding_job(spark, sf_dir):
     """Sessions of the events, embedded offline."""
     from convorecall.plans.build import memories_of
@@ -585,3 +672,115 @@ def embedding_job(spark, sf_dir):
     m = memories_of(_messages(spark, sf_dir), dim=64, gap_seconds=21600)
     zero: Column = F.forall("content_embedding", lambda x: x == 0)
     return m.select("conversation_key", "session_type", F.col("batch").cast("bigint").alias("batch"), F.size("content_embedding").alias("dimension"), zero.alias("zero"))
+
+
+@query(f"""with recursive {_sessions_sql(21600)}, t as (select conversation_key, session_type, batch,
+  floor(len(array_to_string(list_transform(messages, lambda m: concat(trim(regexp_extract(m.name, '^[^(（]*')), ': ', case when len(m.content) > 200 then concat(m.content[:200], '...') else m.content end)), chr(10))) * 1.5)::bigint
+  + floor(len(concat(year(a), '年', month(a), '月', day(a), '日', '上午', ' 参与者：', array_to_string(participants, ', '))) * 1.5)::bigint n,
+  row_number() over (partition by conversation_key order by session_type, batch) rn from (select *, make_timestamp(start_us) a from sessions)),
+w as (select conversation_key, session_type, batch, rn, n, n total, 0 request, 1 size from t where rn = 1
+  union all
+  select t.conversation_key, t.session_type, t.batch, t.rn, t.n, case when w.total + t.n > 3000 or w.size >= 6 then t.n else w.total + t.n end,
+    case when w.total + t.n > 3000 or w.size >= 6 then w.request + 1 else w.request end, case when w.total + t.n > 3000 or w.size >= 6 then 1 else w.size + 1 end
+  from w join t on t.conversation_key = w.conversation_key and t.rn = w.rn + 1)
+select conversation_key, session_type, batch::bigint batch, count(*) over (partition by conversation_key, request)::bigint asked_together from w""")
+def embedding_requests(spark, sf_dir):
+    """Sessions embedded by an injected embedder, here one that returns the number of texts that it was asked for together."""
+    import numpy as np
+
+    s = S.enriched(S.sessions(_messages(spark, sf_dir), gap_seconds=21600)).drop("messages")
+    found = embed.embed(s, lambda texts: np.full((len(texts), 1), len(texts)), 1, "conversation_key", ["session_type", "batch"], 3000, 6)
+    return found.select("conversation_key", "session_type", F.col("batch").cast("bigint").alias("batch"), F.col("content_embedding")[0].cast("bigint").alias("asked_together"))
+
+
+@query(f"with recursive {_sessions_sql(21600)} select count(*) total, count(*) success, 0::bigint failed from sessions")
+def embedding_summary(spark, sf_dir):
+    """Sessions embedded, and those that failed."""
+    from convorecall.plans.build import memories_of
+
+    return embed.run_summary(memories_of(_messages(spark, sf_dir), dim=64, gap_seconds=21600))
+
+
+# Sources and sinks: tables written in the formats that are read, and read back.
+
+
+@query("""select concat('c', conv_id) conversation_key, 'group' conversation_type, turn::bigint seq, role sender_name, 1704067200 + conv_id * 86400 + turn * 60 epoch, text content,
+  0 msg_type, (select count(distinct conv_id) from conversations where conv_id % 25 = 3) bad_files
+from (select conv_id, row_number() over (partition by conv_id order by turn) - 1 turn, role, text from conversations) where conv_id % 25 <> 3""")
+def conversation_files(spark, sf_dir):
+    """Conversations as JSON, one in 25 of them cut off, read back to messages."""
+    c = _table(spark, sf_dir, "conversations").withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    message = F.struct(F.col("turn").alias("o"), F.col("role").alias("sender"), F.col("role").alias("accountName"), (1704067200 + F.col("conv_id") * 86400 + F.col("turn") * 60).alias("timestamp"), F.lit(0).alias("type"), F.col("text").alias("content"))
+    whole = F.to_json(F.struct(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.lit("group").alias("type")).alias("meta"), F.array().cast("array<struct<accountName: string>>").alias("members"), F.transform("m", lambda x: x.dropFields("o")).alias("messages")))
+    lines = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m")).select(F.when(F.col("conv_id") % 25 == 3, F.substring(whole, 1, 60)).otherwise(whole).alias("value"))
+    path = fresh_path(spark, "chats")
+    lines.write.text(path)
+    read = C.read_conversation_lines(spark, path)
+    found = C.messages_of(C.valid(read)).crossJoin(F.broadcast(C.bad_files(read)))  # one row
+    return found.select("conversation_key", "conversation_type", "seq", "sender_name", F.unix_timestamp("ts").alias("epoch"), "content", "msg_type", "bad_files")
+
+
+@query("""select concat('u', user_id) conversation_key, row_number() over (partition by user_id order by ts, event_type, props) - 1 seq, event_type sender_name, epoch_us(ts) us, concat(props, ',"', chr(10), props) content,
+  case when event_type = 'error' then 1 else 0 end msg_type from events""")
+def tabular_files(spark, sf_dir):
+    """Messages as CSV, with commas, quotes and line breaks in them, read back."""
+    e = _table(spark, sf_dir, "events")
+    text = F.concat("props", F.lit(',"\n'), "props")
+    rows = e.select(text.alias("content"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), F.col("event_type").alias("sender_name"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("conversation_name"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("msg_type"))
+    path = fresh_path(spark, "messages")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return C.read_tabular(spark, path).select("conversation_key", "seq", "sender_name", F.unix_micros("ts").alias("us"), "content", "msg_type")
+
+
+@query(f"""with {MEMORIES} select conversation_name conversation_key, count(*) n, md5(string_agg(case when memory_key % 2 = 1 and conversation_name in ('src1', 'src2', 'src7') then 'new' else content_text end, '|' order by memory_key)) content_md5
+from memories where not (conversation_name in ('src1', 'src2', 'src7') and memory_key % 2 = 0) group by conversation_name""")
+def store_refresh(spark, sf_dir):
+    """A store saved, three of its conversations replaced by newer ones, and read again."""
+    m = _memories(spark, sf_dir).withColumn("conversation_key", F.col("conversation_name"))
+    path = fresh_path(spark, "store")
+    store.save(m, path)
+    fresh = m.where("conversation_name in ('src1', 'src2', 'src7') and memory_key % 2 = 1").withColumn("content_text", F.lit("new"))
+    store.refresh(spark, path, fresh)
+    rows = F.array_sort(F.collect_list(F.struct("memory_key", "content_text")))
+    out = store.load(spark, path).groupBy("conversation_key").agg(F.count("*").alias("n"), rows.alias("rows"))
+    return out.select("conversation_key", "n", F.md5(F.array_join(F.transform("rows", lambda x: x["content_text"]), "|")).alias("content_md5"))
+
+
+@query(f"with {INDEX} select term, count(*) df, sum(tf)::bigint tf, round(any_value(idf), 6) idf, (select n from sizes) n from postings join stats using (term) group by term")
+def saved_index(spark, sf_dir):
+    """A text index saved and loaded."""
+    path = fresh_path(spark, "index")
+    store.save_index(search.build_index(_memories(spark, sf_dir)), path)
+    index = store.load_index(spark, path)
+    sums = index["postings"].groupBy("term").agg(F.sum("tf").alias("tf"))
+    return index["term_stats"].join(sums, "term").crossJoin(F.broadcast(index["corpus_stats"].select("n"))).select("term", "df", "tf", F.round("idf", 6).alias("idf"), "n")
+
+
+@query(f"""{PROFILE} select conversation_key, reason, message_count, idle_days from removed
+union all select conversation_key, 'kept', message_count, idle_days from profile where conversation_key not in (select conversation_key from removed)""")
+def written_lists(spark, sf_dir):
+    """Lists of removals as JSON and of what stays as CSV, written and read back."""
+    p = _profile(spark, sf_dir)
+    gone = curate.removals(p, 10, 90)
+    parts = []
+    for form, df in (("json", gone), ("csv", curate.keep_list(p, gone).withColumn("reason", F.lit("kept")))):
+        df = df.select("conversation_key", "reason", "message_count", F.col("days_since_last").alias("idle_days"))
+        path = fresh_path(spark, "list")
+        C.write_list(df, path, form)
+        parts.append(spark.read.schema(df.schema).option("header", True).format(form).load(path))
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""{PROFILE}, o as (select *, row_number() over (order by idle_days desc, conversation_key) k, count(*) over () n from profile where conversation_type = 'group' and idle_days > 3)
+select conversation_key, idle_days, greatest(n - 20, 0) more from o where k <= 20""")
+def list_preview(spark, sf_dir):
+    """The first 20 silent groups, and how many more there are."""
+    first, more = curate.head(curate.inactive_groups(_profile(spark, sf_dir), 3))
+    return first.crossJoin(F.broadcast(more)).select("conversation_key", F.col("days_since_last").alias("idle_days"), "more")
+
+
+@query("""select event_id, concat(props, ' ', event_type) "text" from events""")
+def console_texts(spark, sf_dir):
+    """Texts with pictures in them, for a console of few characters."""
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", T.console_text(F.concat("props", F.lit("\U0001F600 "), "event_type")).alias("text"))

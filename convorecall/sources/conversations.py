@@ -15,6 +15,12 @@ def read_conversations(spark: SparkSession, paths: str | list[str]) -> DataFrame
     return df.select("*", F.url_decode(F.element_at(parts, -2)).alias("conversation_key"), F.col("_metadata.file_path").alias("file_path"))
 
 
+def read_conversation_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same of files with one conversation a line, keyed by its name: one file holds as many as one likes."""
+    df = spark.read.schema(CONVERSATION).json(paths, mode="PERMISSIVE")
+    return df.select("*", F.col("meta.name").alias("conversation_key"), F.col("_metadata.file_path").alias("file_path"))
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Conversations under ``root``: ``x/x.json``, or ``x/y/y.json`` where ``x`` has none of its own; no dot folders."""
 
@@ -51,6 +57,12 @@ def messages_of(conversations: DataFrame) -> DataFrame:
     return df.select("conversation_key", "conversation_name", "conversation_type", F.col("seq").cast("bigint").alias("seq"), F.col("m.sender").alias("sender"), F.coalesce("m.accountName", "m.sender").alias("sender_name"), F.timestamp_seconds("m.timestamp").alias("ts"), F.coalesce("m.content", F.lit("")).alias("content"), F.coalesce("m.type", F.lit(0)).alias("msg_type"))
 
 
+def read_tabular(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
+    """Messages of ``csv`` (with a header), ``json`` or ``parquet`` files with ``content, timestamp, sender_name`` and maybe ``conversation_name, msg_type``."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"') if form == "csv" else spark.read
+    return tabular_messages(reader.format(form).load(path))
+
+
 def tabular_messages(df: DataFrame) -> DataFrame:
     """Messages of a table with ``content, timestamp, sender_name`` and maybe ``conversation_name, msg_type``."""
     name = F.col("conversation_name") if "conversation_name" in df.columns else F.lit("default")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convorecall.tables import removed
+
 BUCKETS = 64
 
 
@@ -34,6 +36,7 @@ def refresh(spark: SparkSession, path: str, fresh: DataFrame, buckets: int = BUC
     staged = f"{path.rstrip('/')}.staged"
     old.unionByName(fresh).write.mode("overwrite").parquet(staged)
     spark.read.parquet(staged).repartition("conv_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("conv_bucket").parquet(path)
+    removed(spark, staged)
 
 
 def save_index(index: dict[str, DataFrame], path: str) -> None:
