@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convorecall.llm.scratch import drawn, texts_of
-from convorecall.llm.textkit import string_column, text_slices
+from convorecall.llm.textkit import map_texts, string_column, text_slices
 
 #: Documents that training takes at most, in the order of a hash of their ids, and bytes of their texts together; a text
 #: that does not fit any more is left out whole.
@@ -180,4 +180,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), letter.alias("_letter"))
-    return df.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_texts(df, _predict(model), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from convorecall.llm import gated_lm
 from convorecall.llm.scratch import drawn, texts_of, written
-from convorecall.llm.textkit import Words, string_column, text_slices
+from convorecall.llm.textkit import Words, map_texts, string_column, text_slices
 
 #: Documents that warm the network up, in the order of a hash of their ids, and bytes of those together; then all train it.
 WARM = 300
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray]) -> gated_lm.
     ends = np.cumsum(lengths)
     model = gated_lm.warmed(model, [words[e - n : e] for e, n in zip(ends, lengths)])
     kinds = "weighted binary, seen long"
-    models = written(docs.select("text").mapInArrow(_train(model), kinds), "models")
+    models = written(map_texts(docs.select("text"), _train(model), kinds), "models")
     sums = models.coalesce(ADDERS).mapInArrow(_sum, kinds).collect()  # at most ADDERS rows
     if not sums:  # no words at all
         return model

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from convorecall.llm.components import components
 from convorecall.llm.scratch import scope, small, written
-from convorecall.llm.textkit import Words, distinct_pairs, mix, string_column, text_slices
+from convorecall.llm.textkit import Words, distinct_pairs, map_texts, mix, string_column, text_slices
 
 #: Zones with a shingle in more documents than this make the shingle a common one. It is 3, as the least, the greatest and
 #: the exclusive or of up to three ids tell all of them.
@@ -83,7 +83,7 @@ _SET = "doc_id long, n long, digest long, items array<long>"
 
 def shingle_sets(docs: DataFrame, words: int = 5, zone: bool = False) -> DataFrame:
     """``doc_id, n, digest, items`` of each document; items are the sorted 64-bit hashes of its distinct shingles."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words, zone), _SET)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sets(words, zone), _SET)
 
 
 class _Rule:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convorecall.llm.scratch import written
-from convorecall.llm.textkit import string_column, text_slices
+from convorecall.llm.textkit import map_texts, string_column, text_slices
 from convorecall.llm.tokens import encoder
 
 #: Steps of the branch and bound after its first solutions; where it ends, the best solution so far stands.
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = written(map_texts(docs, _pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     full = F.col("length") == capacity
     loose = pieces.where(~full)
     salts = max(SALTS, loose.count() // SALT_PIECES)

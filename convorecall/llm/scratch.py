@@ -1,59 +1,13 @@
-"""Intermediate tables in the shared folder, so that a lost executor costs only its own tasks."""
+"""Intermediate tables, sides of joins that are small, and bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convorecall.tables import removed, scope, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a new one that is set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_SCOPES: list[list[str]] = []
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder, through the file system that holds it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are removed at the end, but for the one written last, which holds the result."""
-    _SCOPES.append([])
-    try:
-        yield
-    except BaseException:
-        for path in _SCOPES.pop():
-            removed(spark, path)
-        raise
-    *rest, result = _SCOPES.pop()
-    for path in rest:
-        removed(spark, path)
-    if _SCOPES:
-        _SCOPES[-1].append(result)
+__all__ = ["drawn", "removed", "scope", "shared_dir", "small", "texts_of", "written"]
 
 
 #: Rows of ids up to which a side of a join is sent to all executors; beyond it both sides are shuffled.

@@ -10,8 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+#: Bytes of one Arrow batch of whole texts: Spark's own bound takes hundreds of megabytes, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _RNG = np.random.default_rng(20240517)
 _RAW = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = _RAW.copy()
@@ -44,6 +48,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of few bytes; a session with a smaller bound keeps it."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BYTES).rstrip("bB")) > BATCH_BYTES:
+        conf.set(_BYTES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of at most ``limit`` bytes; a longer row stands alone."""
     if isinstance(column, pa.ChunkedArray):

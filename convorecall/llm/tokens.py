@@ -12,7 +12,7 @@ import numpy as np
 from convorecall.llm.textkit import _RAW, _SPACE, _powers, mix
 
 #: Pieces that a worker remembers; the memory is emptied beyond it.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 _LINE = 100_000
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convorecall.llm.scratch import drawn, texts_of
-from convorecall.llm.textkit import string_column
+from convorecall.llm.textkit import map_texts, string_column
 
 #: Labelled documents of either kind that training takes at most, in the order of a hash of their ids.
 SAMPLE = 1500
@@ -228,4 +228,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Repeated rows give repeated rows, an empty table none; other columns are not read.
     """
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_score(model), "doc_id long, score double, predicted int")
+    return map_texts(docs.select("doc_id", F.col("text").alias("_text")), _score(model), "doc_id long, score double, predicted int")

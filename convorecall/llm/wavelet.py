@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convorecall.llm.scratch import written
-from convorecall.llm.textkit import string_column, text_slices
+from convorecall.llm.textkit import map_texts, string_column, text_slices
 from convorecall.llm.tokens import encoder
 
 MAGIC = b"WVM2"
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_to
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(_encode(tokenizer_path, end_id, shard_tokens), _SHARD), "shards")
+    return written(map_texts(ordered, _encode(tokenizer_path, end_id, shard_tokens), _SHARD), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
