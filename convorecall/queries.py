@@ -705,7 +705,7 @@ def embedding_summary(spark, sf_dir):
 
 
 @query("""select concat('c', conv_id) conversation_key, 'group' conversation_type, turn::bigint seq, role sender_name, 1704067200 + conv_id * 86400 + turn * 60 epoch, text content,
-  0 msg_type, (select count(distinct conv_id) from conversations where conv_id % 25 = 3) bad_files
+  0 msg_type, (select count(distinct conv_id) from conversations where conv_id % 25 = 3) bad_files, (select count(distinct conv_id) from conversations where conv_id % 25 <> 3) read_files
 from (select conv_id, row_number() over (partition by conv_id order by turn) - 1 turn, role, text from conversations) where conv_id % 25 <> 3""")
 def conversation_files(spark, sf_dir):
     """Conversations as JSON, one in 25 of them cut off, read back to messages."""
@@ -717,7 +717,7 @@ def conversation_files(spark, sf_dir):
     lines.write.text(path)
     read = C.read_conversation_lines(spark, path)
     found = C.messages_of(C.valid(read)).crossJoin(F.broadcast(C.bad_files(read)))  # one row
-    return found.select("conversation_key", "conversation_type", "seq", "sender_name", F.unix_timestamp("ts").alias("epoch"), "content", "msg_type", "bad_files")
+    return found.select("conversation_key", "conversation_type", "seq", "sender_name", F.unix_timestamp("ts").alias("epoch"), "content", "msg_type", "bad_files", "read_files")
 
 
 @query("""select concat('u', user_id) conversation_key, row_number() over (partition by user_id order by ts, event_type, props) - 1 seq, event_type sender_name, epoch_us(ts) us, concat(props, ',"', chr(10), props) content,
@@ -732,14 +732,14 @@ def tabular_files(spark, sf_dir):
     return C.read_tabular(spark, path).select("conversation_key", "seq", "sender_name", F.unix_micros("ts").alias("us"), "content", "msg_type")
 
 
-@query(f"""with {MEMORIES} select conversation_name conversation_key, count(*) n, md5(string_agg(case when memory_key % 2 = 1 and conversation_name in ('src1', 'src2', 'src7') then 'new' else content_text end, '|' order by memory_key)) content_md5
-from memories where not (conversation_name in ('src1', 'src2', 'src7') and memory_key % 2 = 0) group by conversation_name""")
+@query(f"""with {MEMORIES} select conversation_name conversation_key, count(*) n, md5(string_agg(case when conversation_name in ('src1', 'src2', 'src7') then 'new' else content_text end, '|' order by memory_key)) content_md5
+from memories where conversation_name not in ('src1', 'src2', 'src7') or memory_key % 3 = 1 group by conversation_name""")
 def store_refresh(spark, sf_dir):
     """A store saved, three of its conversations replaced by newer ones, and read again."""
     m = _memories(spark, sf_dir).withColumn("conversation_key", F.col("conversation_name"))
     path = fresh_path(spark, "store")
     store.save(m, path)
-    fresh = m.where("conversation_name in ('src1', 'src2', 'src7') and memory_key % 2 = 1").withColumn("content_text", F.lit("new"))
+    fresh = m.where("conversation_name in ('src1', 'src2', 'src7') and memory_key % 3 = 1").withColumn("content_text", F.lit("new"))
     store.refresh(spark, path, fresh)
     rows = F.array_sort(F.collect_list(F.struct("memory_key", "content_text")))
     out = store.load(spark, path).groupBy("conversation_key").agg(F.count("*").alias("n"), rows.alias("rows"))

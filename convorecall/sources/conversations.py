@@ -47,8 +47,11 @@ def valid(conversations: DataFrame) -> DataFrame:
 
 
 def bad_files(conversations: DataFrame) -> DataFrame:
-    """Number of files that could not be read."""
-    return conversations.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad_files"))
+    """``bad_files, read_files``: conversations that could not be read, and those that could.
+
+    Take both columns, or keep the conversations first: Spark does not read raw JSON for its faults alone.
+    """
+    return conversations.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad_files"), F.count("meta").alias("read_files"))
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
