@@ -185,7 +185,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         tool = encoder(path, "byte")
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for lo, hi, data, offsets in text_slices(string_column(batch, "text"), 4 << 20):
+            for lo, hi, data, offsets in text_slices(string_column(batch, "text"), 1 << 19):
                 flat, count = tool.encode(data, offsets)
                 at = np.concatenate([[0], np.cumsum(count)])
                 rows: list[tuple[int, int, int, int, int]] = []

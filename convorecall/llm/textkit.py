@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Powers that a worker keeps; a longer text has its own made for it.
+KEPT = (1 << 19) + 1
 #: Bytes of one Arrow batch of whole texts: Spark's own bound takes hundreds of megabytes, in the JVM and in Python.
 BATCH_BYTES = 4 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -29,13 +31,16 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for b in (_BASE, _INVERSE):
+        p = np.full(max(n, KEPT), b, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    if n <= KEPT:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -179,7 +179,7 @@ def _encode(path: str, end_id: int, shard_tokens: int):
         tool, held, total = encoder(path, "word"), [], 0
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
-            for lo, hi, data, offsets in text_slices(string_column(batch, "text"), min(4 << 20, 4 * shard_tokens)):
+            for lo, hi, data, offsets in text_slices(string_column(batch, "text"), min(1 << 19, 4 * shard_tokens)):
                 flat, count = tool.encode(data, offsets)
                 ends = np.cumsum(count)
                 held.append((ids[lo:hi], count + 1, np.insert(flat, ends, end_id)))

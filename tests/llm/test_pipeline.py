@@ -27,3 +27,23 @@ def test_pipeline(spark, tmp_path):
             continue
         want[i] = len(tool.encode(re.sub(r"password = \S+", "[SECRET]", t)).ids) + 1
     assert {r.doc_id: r.length for r in got} == want
+
+
+def test_edges(spark, tmp_path):
+    """Empty tables, repeated rows and columns named like those of the stages."""
+    items = spark.createDataFrame([(0, "one two three four five six seven eight")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, component_id string, start int, variant int, score string"
+    docs = spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and (name == "best_fit_packing" or docs.columns == [c.split()[0] for c in kind.split(", ")])
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["kala", "tone", "mipo", "reti", "shugu", "lax"]) for _ in range(50)) for _ in range(12)]
+    rows = [(i, t, "aa", "s", len(t), "x", 1, 2, "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(None, texts[0], "aa", "s", 1, "x", 1, 2, "y")], kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    # rows that repeat a document go or stay with it; a row without an id has no group to be a copy in
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()) == sorted([(False, i) for i in range(12)] + [(False, 0), (False, 1), (True, 0)])
+    assert docs.columns == [c.split()[0] for c in kind.split(", ")]
