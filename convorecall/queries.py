@@ -637,6 +637,14 @@ def related_memories(spark, sf_dir):
     return search.related(m, m.where("memory_key % 20 = 0")).select("memory_key", F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("related"))
 
 
+@query(f"""with {MEMORIES}, {_scored_sql(context=False)}, r as (select *, row_number() over (partition by query_id order by vector desc, memory_key) "rank" from scored)
+select query_id, "rank", memory_key, round(vector, 6) vector from r where "rank" <= 10""")
+def exact_ten(spark, sf_dir):
+    """Nearest ten memories by content."""
+    m = _memories(spark, sf_dir)
+    return _rounded(search.vector_search(m, _asked(m).select("query_id", "content_vec"), 10).select("query_id", "rank", "memory_key", "vector"), "vector")
+
+
 @query(f"with {MEMORIES} select count(*) n_queries, true nine_in_ten from queries")
 def lsh_recall(spark, sf_dir):
     """Whether the approximate search finds nine in ten of the exact best ten, over all its queries."""
