@@ -36,12 +36,52 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+_ITEM_WORDS = WORDS.replace("doc_id", "item_id")
+OP2 = f"""
+with dw as (select doc_id, {WORDS} ws from documents), iw as (select distinct item_id, {_ITEM_WORDS} ws from benchmark),
+i as (select item_id, ws, len(ws) n, least(len(ws), 5) z, row_number() over () v from iw where len(ws) > 0),
+p as (select v, item_id, n, z, pos, array_to_string(ws[pos:pos + z - 1], ' ') g from (select *, unnest(range(1, n - z + 2)) pos from i)),
+wt as (select g, ln(1 + (select count(*) from i)::double / count(distinct v)) w from p group by g),
+s as (select doc_id, z, pos, array_to_string(ws[pos:pos + z - 1], ' ') g from (select doc_id, ws, z, unnest(range(1, len(ws) - z + 2)) pos from dw, (select distinct z from i))),
+seeds as (select distinct s.doc_id, p.v, p.n, p.z, greatest(s.pos - p.pos, 0) st from s join p on s.g = p.g and s.z = p.z),
+win as (select doc_id, v, st, unnest(list_distinct(list_transform(range(1, len(x) - z + 2), lambda k: array_to_string(x[k:k + z - 1], ' ')))) g
+  from (select seeds.*, ws[st + 1:st + n] x from seeds join dw using (doc_id))),
+own as (select distinct v, g from p), total as (select v, sum(w) iw from own join wt using (g) group by v),
+met as (select win.doc_id, win.v, win.st, sum(coalesce(w, ln(1 + (select count(*) from i)))) ww, coalesce(sum(w) filter (own.g is not null), 0) inter
+  from win left join wt using (g) left join own on own.v = win.v and own.g = win.g group by all),
+sim as (select doc_id, item_id, st, n, inter / (ww + iw - inter) sim from met join total using (v) join (select v, item_id, n from i) using (v)),
+best as (select *, row_number() over (partition by doc_id, item_id order by round(sim, 9) desc, st) k from sim where sim >= 0.8 - 1e-9)
+select doc_id, item_id, st::int "start", n::int n_words, round(sim, 6) similarity from best where k = 1
+"""
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text."""
     found = secrets.scan(_documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+_QUOTED = {kind: pattern.replace("'", "''") for kind, pattern in zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE))}
+_PATTERNS = ", ".join(f"('{kind}', {rank}, '{pattern}')" for rank, (kind, pattern) in enumerate(_QUOTED.items()))
+OP3 = f"""
+with d as (select row_number() over () id, doc_id, coalesce(text, '') t from documents), k(kind, r, p) as (values {_PATTERNS}),
+m as (select id, kind, r, string_split_regex(t, p) b, regexp_extract_all(t, p) f, case when kind = 'assign' then regexp_extract_all(t, p, 2) end v from d, k),
+u as (select id, kind, r, f[i] m, v[i] v, list_sum(list_transform(b[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0) s
+  from (select *, unnest(range(1, len(f) + 1)) i from m)),
+base as (select *, s + len(m) e from u where kind = 'assign' and len(v) >= 6 or kind = 'access' and len(m) >= 20 or kind = 'hex'),
+cand as (select *, s + len(m) e from u where kind = 'entropy' and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
+  and not ({" or ".join(f"regexp_matches(m, '{a}')" for a in secrets.ALLOWED)})),
+high as (select * from cand c where not exists (select 1 from base b where b.id = c.id and b.s < c.e and c.s < b.e)
+  and list_max(list_transform(range(1, len(m) - {secrets.WINDOW - 2}), lambda j: list_entropy(string_split(m[j:j + {secrets.WINDOW - 1}], ''))))
+    >= case {" ".join(f"when regexp_matches(m, '{p}') then {bits}" for _, p, bits in secrets.CLASSES)} end),
+spans as (select id, kind, r, s, concat(kind, ':', s::bigint, ':', e::bigint) x from (select * from base union all select * from high)),
+sums as (select id, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
+  string_agg(x, ',' order by s, r) filter (r < 3) base, string_agg(x, ',' order by s, r) spans from spans group by id)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join sums using (id)
+"""
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every text when repeated 100-byte strings are removed."""
     return suffix_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
@@ -119,4 +159,4 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,
 }
-SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6}
+SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op6_quality_rules": OP6}
