@@ -87,6 +87,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
 
 
+OP4 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+s as (select doc_id, pos, hash(h[2 * pos + 1:2 * pos + 200]) k from (select *, unnest(range(0, n - 99)) pos from d where n >= 100)),
+later as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by k order by doc_id, pos) r from s) where r > 1),
+starts as (select *, case when pos - lag(pos) over (partition by doc_id order by pos) <= 100 then 0 else 1 end fresh from later),
+runs as (select doc_id, run, min(pos) a, max(pos) + 100 b from (select *, sum(fresh) over (partition by doc_id order by pos) run from starts) group by all),
+cuts as (select doc_id, count(*) n_spans, sum(b - a) n_removed, list(a order by a) ends, list(b order by a) begins from runs group by doc_id),
+kept as (select d.*, coalesce(n_spans, 0) n_spans, coalesce(n_removed, 0) n_removed, list_concat([0], coalesce(begins, []::bigint[])) begins, list_append(coalesce(ends, []::bigint[]), n) ends
+  from d left join cuts using (doc_id))
+select doc_id, n::bigint n_bytes, n_removed::bigint n_removed, n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(ends) + 1), lambda i: h[2 * begins[i] + 1:2 * ends[i]]), ''))) kept_sha256 from kept
+"""
+
+
 def _remainder(n: int):
     """crc32 of the doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
@@ -159,4 +173,4 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,
 }
-SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op6_quality_rules": OP6}
+SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op4_suffix_dedup": OP4, "op6_quality_rules": OP6}
