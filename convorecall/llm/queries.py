@@ -1,4 +1,4 @@
-"""The ten registered queries over whole tables, and DuckDB SQL where SQL can express them."""
+"""The registered queries over whole tables, and DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import decontaminate, language, lm_scoring, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
+from convorecall.llm import decontaminate, language, lm_scoring, merkle, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -161,6 +161,43 @@ def op10_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of every row, tried again after every third text has been lower-cased."""
+    text = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.proofs(_documents(spark, sf_dir), {"text": text}, _remainder(3) == 0)
+
+
+#: DuckDB has no crc32: a table of its steps, and a fold over the characters of an ASCII string.
+CRC_TABLE = "steps as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda v, x: xor(v >> 1, (v & 1) * 3988292384)) order by i) step from range(256) r(i))"
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of the ASCII string ``text``, in a query with the table ``steps``."""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295]::bigint[], list_transform(string_split({text}, ''), lambda c: ord(c)::bigint)), lambda v, b: xor(v >> 8, step[(xor(v, b) & 255) + 1])))"
+
+
+_FIELDS = "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_LEVELS = """{t}(g, lvl, i, h, n) as ({base} union all
+  select g, any_value(lvl) + 1, i // 8, sha256(string_agg(h, '' order by i)), (any_value(n) + 7) // 8 from {t} where n > 1 group by g, i // 8),
+{t}s as (select g, lvl, i, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') a,
+  coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') b from {t} where n > 1 window w as (partition by g, lvl, i // 8 order by i))"""
+_FOLD = """{f}(id, g, lvl, i, h, w) as ({base} union all select id, g, lvl + 1, i // 8, sha256(a || h || b), w || a || b from {f} join {t}s using (g, lvl, i)),
+{f}end as (select id, max_by(h, lvl) h, max_by(w, lvl) w from {f} group by id)"""
+OP12 = f"""
+with recursive {CRC_TABLE},
+d as (select row_number() over () id, doc_id, coalesce('=' || lang, '') g, {_FIELDS.format(text="text")} leaf,
+  case when {crc32_sql("doc_id::varchar")} % 3 = 0 then {_FIELDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end changed from documents, steps),
+p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf, id) - 1 i from d),
+{_LEVELS.format(t="low", base="select g, 0, i, leaf, count(*) over (partition by g) from p")},
+subs as (select g, h, row_number() over (order by g) - 1 i from low where n = 1),
+{_LEVELS.format(t="top", base="select '', 0, i, h, count(*) over () from subs")},
+{_FOLD.format(f="lf", t="low", base="select id, g, 0, i, coalesce(changed, leaf), '' from p")},
+{_FOLD.format(f="tf", t="top", base="select p.id, '', 0, subs.i, lfend.h, '' from p join lfend using (id) join subs using (g)")}
+select doc_id, leaf, subs.h subroot, top.h root, sha256(lfend.w || tfend.w) proof_sha256, tfend.h folded_root, tfend.h = top.h verified
+from p join subs using (g) join lfend using (id) join tfend using (id), top where top.n = 1
+"""
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -172,5 +209,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op4_suffix_dedup": OP4, "op6_quality_rules": OP6}
+SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op4_suffix_dedup": OP4, "op6_quality_rules": OP6, "op12_merkle_manifest": OP12}
