@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import decontaminate, language, lm_scoring, merkle, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
+from convorecall.llm import conversations, decontaminate, language, lm_scoring, merkle, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -198,6 +198,44 @@ from p join subs using (g) join lfend using (id) join tfend using (id), top wher
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of damaged conversations."""
+    return conversations.repaired(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+_NEXT = "case when {s} = 'u' then 'a' else 'u' end"
+OP13 = rf"""
+with recursive {CRC_TABLE},
+d as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, {crc32_sql("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 k from conversations, steps),
+x as (select conv_id, turn, case when k = 4 then 'user' else r end r, case k when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t,
+  unnest(case when k = 3 then [0, 1] else [0] end) copy from d where k > 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t, copy) i, row_number() over (partition by conv_id, r, t order by turn nulls first, copy) nth from x),
+f as (select *, case when not regexp_matches(t, '[^ 	-]') then 'b' when nth > 1 then 'd' when not regexp_matches(t, '[.!?][ 	-]*\z') then 't' else '' end fault,
+  lag(r[1]) over (partition by conv_id order by i) prev from o),
+sums as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate,
+  count(*) filter (fault = 't') truncated, count(*) filter (prev is not null and prev || r[1] not in ('su', 'ua', 'au')) illegal from f group by conv_id),
+walk(conv_id, i, s, best) as (
+  select conv_id, 0::bigint, '', {{'c': 0::bigint, 'a': '', 'l': []::varchar[]}} from sums
+  union all
+  select conv_id, i, s2, min({{'c': c, 'a': a, 'l': l}}) from (
+    select conv_id, i, case e when 'D' then s1 when 'K' then r[1] else want end s2,
+      best.c + 2 * ins + case when e = 'D' then 3 when e = 'R' then 2 else 0 end + (e <> 'D' and fault = 't')::int c, best.a || repeat('I', ins) || e a,
+      list_concat(best.l, case when ins = 1 then [case s1 when 'u' then 'user:' else 'assistant:' end] else [] end,
+        case e when 'K' then [r || ':' || t] when 'R' then [case want when 'u' then 'user:' else 'assistant:' end || t] else [] end) l
+    from (select *, {_NEXT.format(s="s1")} want from (
+      select f.conv_id, f.i, f.r, f.t, f.fault, w.best, ins, case when ins = 1 then {_NEXT.format(s="w.s")} else w.s end s1
+      from walk w join f on w.conv_id is not distinct from f.conv_id and f.i = w.i + 1, (values (0), (1)) v(ins))), (values ('D'), ('K'), ('R')) u(e)
+    where e = 'D' or fault not in ('b', 'd') and (e = 'R' or r[1] = want or r[1] = 's' and s1 = ''))
+  group by conv_id, i, s2),
+ends as (select w.conv_id, min({{'c': best.c + 2 * len(more), 'a': best.a || repeat('I', len(more)), 'l': list_concat(best.l, more)}}) best
+  from (select *, case s when 's' then ['user:', 'assistant:'] when 'u' then ['assistant:'] else []::varchar[] end more from walk) w
+  join sums on sums.conv_id is not distinct from w.conv_id and sums.n = w.i group by w.conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(best.c, 0) "cost", coalesce(best.a, '') audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join sums on sums.conv_id is not distinct from c.conv_id left join ends on ends.conv_id is not distinct from c.conv_id
+"""
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -210,5 +248,6 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op4_suffix_dedup": OP4, "op6_quality_rules": OP6, "op12_merkle_manifest": OP12}
+SQL = {"op1_ngram_join": OP1, "op2_decontamination": OP2, "op3_secret_scan": OP3, "op4_suffix_dedup": OP4, "op6_quality_rules": OP6, "op12_merkle_manifest": OP12, "op13_conversation_repair": OP13}
