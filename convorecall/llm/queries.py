@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convorecall.llm import conversations, decontaminate, language, lm_scoring, merkle, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, wavelet
+from convorecall.llm import conversations, decontaminate, language, lm_scoring, merkle, ngram_join, packing, pii, quality, secrets, suffix_dedup, toxicity, wavelet
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -161,6 +161,14 @@ def op10_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text; the field learns from a small labelled table written around words of the documents."""
+    docs = _documents(spark, sf_dir)
+    found = pii.scan(docs, pii.fit(pii.labelled(docs)))
+    counts = [pii.counted("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proofs of every row, tried again after every third text has been lower-cased."""
     text = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -210,7 +218,9 @@ d as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, {crc32
 x as (select conv_id, turn, case when k = 4 then 'user' else r end r, case k when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t,
   unnest(case when k = 3 then [0, 1] else [0] end) copy from d where k > 0),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t, copy) i, row_number() over (partition by conv_id, r, t order by turn nulls first, copy) nth from x),
-f as (select *, case when not regexp_matches(t, '[^ 	-]') then 'b' when nth > 1 then 'd' when not regexp_matches(t, '[.!?][ 	-]*\z') then 't' else '' end fault,
+f as (select *, case when not regexp_matches(t, '[^ 	-
+]') then 'b' when nth > 1 then 'd' when not regexp_matches(t, '[.!?][ 	-
+]*\z') then 't' else '' end fault,
   lag(r[1]) over (partition by conv_id order by i) prev from o),
 sums as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate,
   count(*) filter (fault = 't') truncated, count(*) filter (prev is not null and prev || r[1] not in ('su', 'ua', 'au')) illegal from f group by conv_id),
@@ -247,6 +257,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_wavelet_output": op10_wavelet_output,
+    "op11_pii": op11_pii,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_conversation_repair": op13_conversation_repair,
 }
