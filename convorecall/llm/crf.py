@@ -20,6 +20,7 @@ SIGNS = "@.-_+()[]{}/:,;#*%&=<>|!?\"'"
 CUES = {w: k for k, words in enumerate((("at",), ("dot", "punkt", "point", "punto"), ("com", "org", "net", "de", "fr", "es", "io", "edu"), ("tel", "phone", "call", "fax", "mobile", "telefon"), ("card", "visa", "mastercard", "karte", "tarjeta", "carte"), ("ip", "host", "server", "address"))) for w in words}
 _DIGIT, _LETTER, _CUE = 1, 20, 60
 _SIGN = _CUE + 8
+_OPENING, _CLOSING = ([_SIGN + SIGNS.index(c) for c in signs] for signs in ("([{", ")]}"))
 SHAPES = 100
 #: Shapes told apart in longer patterns only by sort.
 _COARSE = np.zeros(SHAPES, np.int64)
@@ -67,9 +68,11 @@ class Tokens:
         self.start, self.end, self.shape = (np.array(x, np.int64) for x in (starts, ends, shapes))
 
     def cues(self) -> np.ndarray:
-        """Places of tokens that may belong to personal data: digits, ``@`` and the words of spelled-out addresses."""
+        """Places of tokens that may belong to personal data: digits, ``@``, ``dot`` and ``at`` in brackets."""
         s = self.shape
-        return np.flatnonzero((s < _LETTER) | (s == _SIGN) | (s == _CUE + 1))
+        out = (s < _LETTER) | (s == _SIGN) | (s == _CUE + 1)
+        out[1:-1] |= (s[1:-1] == _CUE) & np.isin(s[:-2], _OPENING) & np.isin(s[2:], _CLOSING)
+        return np.flatnonzero(out)
 
     def segments(self, reach: int) -> list[tuple[int, int]]:
         """Ranges of tokens that are at most ``reach`` from a cue."""

@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and a conditional random field for what is written in other ways.
 
 The base spans are addresses, numbers of hosts, cards and phones in their usual forms. The field is trained on a small
-labelled table and reads the tokens around digits, ``@`` and spelled-out addresses of every text; what it finds outside base
+labelled table and reads the tokens around digits, ``@``, ``dot`` and ``at`` in brackets of every text; what it finds outside base
 spans is added: addresses with (at) and [dot], hosts with [.], cards in groups or with a wrong digit, phones
-without a plus. Texts without any digit, ``@`` or such a word, which are most, are told by one pass of Arrow's matcher.
+without a plus. Texts without any of these, which are most, are told by one pass of Arrow's matcher.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from convorecall.llm.scratch import drawn, texts_of
 from convorecall.llm.textkit import map_texts, string_column
 
 #: Tokens on either side of a cue that are decoded; everything further away is outside.
-REACH = 8
+REACH = 12
 #: Rows of the labelled table that training takes at most.
 EXAMPLES = 2000
 #: Documents whose ordinary words the labelled table is written around, at most, and the bytes of one of them.
 CARRIERS, CARRIER_BYTES = 300, 1 << 16
 #: Tokens that are decoded together.
 TOKENS = 100_000
-_MAYBE = r"[0-9@]|\b(?i:dot|punkt|point|punto)\b"
+_MAYBE = r"[0-9@]|\b(?i:dot|punkt|point|punto)\b|[\[({]\s*(?i:at)\s*[\])}]"
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
