@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convorecall.functions import text as T
 from convorecall.functions import times
-from convorecall.operators import curate, embed, evaluate, search
+from convorecall.operators import curate, embed, evaluate, ivf, search
 from convorecall.operators import sessions as S
 from convorecall.plans import recall as R
 from convorecall.sources import conversations as C
@@ -645,14 +645,61 @@ def exact_ten(spark, sf_dir):
     return _rounded(search.vector_search(m, _asked(m).select("query_id", "content_vec"), 10).select("query_id", "rank", "memory_key", "vector"), "vector")
 
 
-@query(f"with {MEMORIES} select count(*) n_queries, true nine_in_ten from queries")
+def _recall_of(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: queries, and the share of the exact hits that were found."""
+    both = exact.select("query_id", "memory_key", F.lit(1).alias("exact")).join(found.select("query_id", "memory_key", F.lit(1).alias("found")), ["query_id", "memory_key"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.round(F.count("found") / F.count("exact"), 6).alias("recall"))
+
+
+@query()
 def lsh_recall(spark, sf_dir):
-    """Whether the approximate search finds nine in ten of the exact best ten, over all its queries."""
+    """Share of the exact best ten that random projections find, over all their queries."""
     m = _memories(spark, sf_dir)
     q = _asked(m).select("query_id", "content_vec")
-    exact = search.vector_search(m, q, 10).select("query_id", "memory_key", F.lit(1).alias("exact"))
-    both = exact.join(search.lsh_search(m, q, 10, exact_below=0).select("query_id", "memory_key", F.lit(1).alias("found")), ["query_id", "memory_key"], "left")
-    return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.9 * F.count("exact")).alias("nine_in_ten"))
+    return _recall_of(search.vector_search(m, q, 10), search.lsh_search(m, q, 10, exact_below=0))
+
+
+# The given vectors form no clusters: here those of one label and parity are moved along a dimension of their own.
+CLUSTERED = """clustered as (select vec_id memory_key, label * 2 + vec_id % 2 cluster, list_transform(embedding, lambda x, i: (x + case when i - 1 = label * 2 + vec_id % 2 then 3 else 0 end)::float)::double[] v from embeddings),
+scored as (select q.memory_key query_id, c.memory_key, q.cluster = c.cluster together,
+  list_dot_product(c.v, q.v) / ((sqrt(list_dot_product(c.v, c.v)) + 1e-8) * (sqrt(list_dot_product(q.v, q.v)) + 1e-8)) vector from clustered c, clustered q where q.memory_key % 20 = 0),
+ten as (select *, row_number() over (partition by query_id order by vector desc, memory_key) "rank" from scored)"""
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    cluster = F.col("label") * 2 + F.col("vec_id") % 2
+    moved = F.transform("embedding", lambda x, i: (x + F.when(i == cluster, 3).otherwise(0)).cast("float"))
+    return e.select(F.col("vec_id").alias("memory_key"), moved.alias("content_embedding"))
+
+
+def _inverted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ivf.Codebook, DataFrame, DataFrame]:
+    m = _clustered(spark, sf_dir)
+    book = ivf.train(m, cells=20, parts=16, words=16)
+    return m, book, ivf.index(m, book), m.where("memory_key % 20 = 0").select(F.col("memory_key").alias("query_id"), F.col("content_embedding").alias("content_vec"))
+
+
+@query(f"""with {CLUSTERED} select query_id, "rank", memory_key, round(vector, 6) vector from ten where "rank" <= 10""")
+def ivf_search(spark, sf_dir):
+    """Nearest ten of clustered vectors by an inverted file, one cell a query."""
+    _, book, lists, asked = _inverted(spark, sf_dir)
+    return _rounded(ivf.search(lists, book, asked, 10, probes=1), "vector").select("query_id", "rank", "memory_key", "vector")
+
+
+@query(f"""with {CLUSTERED} select count(distinct query_id) n_queries, round(count(*) filter (together and "rank" <= 10) / count(*) filter ("rank" <= 10), 6) recall,
+round(count(*) filter (together) / count(*), 6) pairs_share from ten""")
+def ivf_recall(spark, sf_dir):
+    """Share of the exact best ten that the inverted file finds, and of all pairs that it reads: those of the clusters themselves."""
+    m, book, lists, asked = _inverted(spark, sf_dir)
+    exact = _near(m, asked)
+    read = ivf.pairs_read(lists, book, asked, probes=1).select(F.round(F.col("pairs_read") / F.col("all_pairs"), 6).alias("pairs_share"))
+    return _recall_of(exact, ivf.search(lists, book, asked, 10, probes=1)).crossJoin(read)  # one row each
+
+
+def _near(m: DataFrame, asked: DataFrame) -> DataFrame:
+    """Exact best ten by content alone."""
+    absent = {"start_timestamp": "double", "participants": "array<string>", "context_embedding": "array<float>"}
+    return search.vector_search(m.select("memory_key", "content_embedding", *[F.lit(None).cast(kind).alias(name) for name, kind in absent.items()]), asked, 10)
 
 
 @query()
