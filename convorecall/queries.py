@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convorecall.functions import text as T
 from convorecall.functions import times
-from convorecall.operators import curate, embed, evaluate, ivf, search
+from convorecall.operators import blockmax, curate, embed, evaluate, ivf, search
 from convorecall.operators import sessions as S
 from convorecall.plans import recall as R
 from convorecall.sources import conversations as C
@@ -270,6 +270,35 @@ def bm25_scores(spark, sf_dir):
     return _rounded(search.bm25(search.build_index(m), _asked(m)), "bm25", "bm25_norm")
 
 
+# Short requests: the first eight words of the memory that is asked for.
+_SHORT = "(select query_id, array_to_string(string_split(query_text, ' ')[:8], ' ') query_text from queries) short"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    m = _memories(spark, sf_dir)
+    asked = _asked(m).select("query_id", F.substring_index("query_text", " ", 8).alias("query_text"))
+    return blockmax.build(search.build_index(m), 8), asked
+
+
+@query(f"""with {_bm25_sql(source=_SHORT)}, r as (select *, row_number() over (partition by query_id order by round(bm25, 9) desc, memory_key) "rank" from words)
+select query_id, "rank", memory_key, round(bm25, 6) bm25, round(bm25_norm, 6) bm25_norm from r where "rank" <= 10""")
+def bm25_top(spark, sf_dir):
+    """Best ten by keywords, from blocks of postings with score bounds."""
+    return _rounded(blockmax.search(*_blocks(spark, sf_dir)), "bm25", "bm25_norm")
+
+
+@query(f"""with {_bm25_sql(source=_SHORT)},
+ranges as (select memory_key, (row_number() over (order by memory_key) - 1) // 8 rg from (select distinct memory_key from postings)),
+blocks as (select rg, term, max(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avgdl from sizes)))) most, count(*) held from postings join stats using (term) join ranges using (memory_key) group by all),
+bounds as (select *, row_number() over (partition by query_id order by bound desc, rg) r from (select query_id, rg, sum(qtf * most) bound, count(*) n, sum(held) held from asked join blocks using (term) group by all)),
+begun as (select w.query_id, bm25, row_number() over (partition by w.query_id order by bm25 desc) k from words w join ranges using (memory_key) join bounds b on b.query_id = w.query_id and b.rg = ranges.rg and b.r <= 2),
+t as (select b.*, r <= 2 or coalesce(bound >= bm25 - 1e-8, true) read from bounds b left join begun g on g.query_id = b.query_id and g.k = 10)
+select query_id, sum(n)::bigint blocks, coalesce(sum(n) filter (read), 0)::bigint blocks_read, sum(held)::bigint postings, coalesce(sum(held) filter (read), 0)::bigint postings_read from t group by query_id""")
+def bm25_blocks(spark, sf_dir):
+    """Blocks and postings of each query's terms, and those that the search for the best ten reads."""
+    return blockmax.report(*_blocks(spark, sf_dir))
+
+
 @query(f"""with {MEMORIES}, {_scored_sql()}, r as (select *, row_number() over (partition by query_id order by vector desc, memory_key) "rank" from scored)
 select query_id, "rank", memory_key, round(content_score, 6) content_score, round(vector, 6) vector from r where "rank" <= 5""")
 def vector_search(spark, sf_dir):

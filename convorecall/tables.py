@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,19 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with its rows' places, from 0, in the order of ``keys`` as column ``name``.
+
+    Rows are sorted by ranges and counted by range; the only rows that meet in one task are the ranges' counts.
+    """
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    ranges = rows.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = ranges.select("_part", (before - F.col("_first")).alias("_shift"))
+    return rows.withColumn("_part", part).join(F.broadcast(shifts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder, through the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
