@@ -75,3 +75,31 @@ def test_enriched(spark):
     assert row.content_text == "A: " + "x" * 200 + "\nA: " + "y" * 200 + "...\nA: z"
     assert row.context_text == "2024年1月1日上午 参与者：A(x)"
     assert row.session_id == spark.range(1).select(F.md5(F.lit("main_1704067200.0_1704067202.0"))).first()[0]
+
+
+def test_one_conversation_with_most_messages(spark):
+    """Nine in ten messages are one conversation's: the batches are those of a fold, and no task has more than a few chunks."""
+    rng = random.Random(3)
+    rows, times, t = [], {"hot": [], "c1": [], "c2": []}, 0
+    for i in range(6000):
+        t += rng.choice([10, 10, 10, 10, 5000, -5])
+        name = "hot" if i % 10 else rng.choice(["c1", "c2"])
+        rows.append((name, t, "x", 0))
+        times[name].append(t)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(held, ("48", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        cut = S.batches(frame(spark, rows), 1800, 3, 20).withColumn("task", F.spark_partition_id())
+        cut.cache()
+        most = cut.groupBy("task").count().agg(F.max("count")).first()[0]
+        got = {}
+        for r in cut.groupBy("conversation_key", "batch").agg(F.count("*").alias("n")).orderBy("conversation_key", "batch").collect():
+            got.setdefault(r.conversation_key, []).append(r.n)
+        cut.unpersist()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert most < 0.2 * len(rows)
+    for name, own in times.items():
+        assert [n for n in got[name] if n >= 3] == fold(own, 1800, 3, 20)
