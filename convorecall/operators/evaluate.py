@@ -57,7 +57,7 @@ def weight_table(spark: SparkSession, weights: list[float] | None = None) -> Dat
     return spark.createDataFrame([(float(w), 1.0 - float(w)) for w in weights or WEIGHTS], "bm25_weight double, vector_weight double")
 
 
-def weight_grid(memories: DataFrame, index: dict[str, DataFrame], queries: DataFrame, weights: DataFrame, k: int = 5, method: str = "dense") -> DataFrame:
+def weight_grid(memories: DataFrame, index: dict[str, DataFrame], queries: DataFrame, weights: DataFrame, k: int = 5, method: str = "pruned") -> DataFrame:
     """Hits of every query under every weight: scored once, then fused per weight."""
     parts = components(memories, index, queries, k, method=method)
     every = parts.crossJoin(F.broadcast(weights))  # a handful of weights

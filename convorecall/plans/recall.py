@@ -15,7 +15,7 @@ def _request(requests: DataFrame, query_text: Column, kind: Column) -> DataFrame
     return requests.withColumn("query_text", query_text).withColumn("recall_type", kind)
 
 
-def recall(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 5, min_relevance: float = DEFAULTS.min_relevance, as_of: float | None = None, method: str = "dense") -> DataFrame:
+def recall(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame, k: int = 5, min_relevance: float = DEFAULTS.min_relevance, as_of: float | None = None, method: str = "pruned") -> DataFrame:
     """Hits of requests (``query_id, query_text, content_vec``, ``recall_type`` and the optional columns of a query).
 
     A request with only one end of a time range gets 0 as its start or ``as_of`` (epoch seconds, now by default) as its end.
@@ -82,7 +82,7 @@ def by_time(memories: DataFrame, index: dict[str, DataFrame], requests: DataFram
     return recall(memories, index, _request(ranged, text, F.lit("temporal")), k, **more)
 
 
-def simple_search(memories: DataFrame, index: dict[str, DataFrame], queries: DataFrame, k: int = 5, method: str = "dense") -> DataFrame:
+def simple_search(memories: DataFrame, index: dict[str, DataFrame], queries: DataFrame, k: int = 5, method: str = "pruned") -> DataFrame:
     """Hits without strategy or threshold."""
     kind = queries.withColumn("recall_type", F.lit("semantic"))
     hits = hybrid_search(memories, index, kind, k, method=method).join(memories.select("memory_key", "content_text", "conversation_name", "participants", "start_timestamp"), "memory_key")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convorecall.functions import text as T
 from convorecall.functions import times
-from convorecall.operators import blockmax, curate, embed, evaluate, ivf, search
+from convorecall.operators import blockmax, curate, embed, evaluate, ivf, search, threshold
 from convorecall.operators import sessions as S
 from convorecall.plans import recall as R
 from convorecall.sources import conversations as C
@@ -326,6 +326,30 @@ def hybrid_search_dense(spark, sf_dir):
     return _hybrid(m, _asked(m), "dense")
 
 
+def _lists(spark: SparkSession, sf_dir: str, filtered: bool = False) -> tuple:
+    m = _memories(spark, sf_dir)
+    index = search.build_index(m)
+    return m, index, blockmax.build(index, 8), _asked(m, filtered)
+
+
+@query(f"with {_hybrid_sql()} {_HYBRID_OUT}")
+def hybrid_search_threshold(spark, sf_dir):
+    """The same by the threshold algorithm over two sorted lists."""
+    return _rounded(threshold.search(*_lists(spark, sf_dir)).drop("content_score"), "score", "bm25_norm", "vector")
+
+
+@query(f"with {_hybrid_sql(where=_RANGE)} {_HYBRID_OUT}")
+def hybrid_threshold_filtered(spark, sf_dir):
+    """The threshold algorithm within a time range and with a participant."""
+    return _rounded(threshold.search(*_lists(spark, sf_dir, filtered=True)).drop("content_score"), "score", "bm25_norm", "vector")
+
+
+@query()
+def threshold_rows(spark, sf_dir):
+    """How deep the threshold algorithm reads the lists of each query, and the rows that it touches."""
+    return threshold.report(*_lists(spark, sf_dir))
+
+
 @query(f"with {_hybrid_sql(where=_RANGE)} {_HYBRID_OUT}")
 def hybrid_search_filtered(spark, sf_dir):
     """Best five within a time range and with a participant; keyword scores are still relative to all memories."""
