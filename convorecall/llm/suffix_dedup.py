@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from convorecall.llm.scratch import SMALL_ROWS, small, written
 from convorecall.llm.textkit import _RAW, _powers, mix, string_column, text_slices
+from convorecall.tables import numbered
 
 LENGTH = 100
 GRAM = 32
-_PLACE = np.uint64((1 << 28) - 1)
+PLACE_BITS = 28  # of an anchor's hash that hold its place, where no longer text needs more
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,14 +45,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none, none.view(np.uint64), none, none
     total, inverse = _sums(data)
     gram = mix((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
-    low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
+    place = np.uint64((1 << max(PLACE_BITS, n.bit_length())) - 1)
+    low = (gram & ~place) | np.arange(len(gram), dtype=np.uint64)
     size, span = 1, LENGTH - GRAM + 1
     while size * 2 <= span:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < span:
         low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-    at = (low & _PLACE).astype(np.int64)  # of each string's anchor
+    at = (low & place).astype(np.int64)  # of each string's anchor
     row = np.searchsorted(offsets, np.arange(len(at)), "right") - 1
     good = np.arange(len(at)) + LENGTH <= offsets[row + 1]
     start = good.copy()
@@ -90,8 +92,11 @@ def _strings(shared: np.ndarray | None):
                 row, g, first, last = anchors(data, offsets)
                 if shared is None:
                     lists = batch.column(batch.schema.get_field_index("keys"))
-                    own = [np.array(lists[int(r)].as_py(), np.int64).view(np.uint64) for r in range(lo, lo + len(offsets) - 1)]
-                    keep = np.array([v in k for v, k in zip(g, (set(own[r].tolist()) for r in row))], bool)
+                    bounds = np.searchsorted(row, np.arange(len(offsets)))
+                    keep = np.zeros(len(g), bool)
+                    for r in np.unique(row):
+                        a, b = bounds[r], bounds[r + 1]
+                        keep[a:b] = np.isin(g[a:b], np.array(lists[int(lo + r)].as_py(), np.int64).view(np.uint64))
                 elif len(shared):
                     at = np.minimum(np.searchsorted(shared, g), len(shared) - 1)
                     keep = shared[at] == g
@@ -229,12 +234,25 @@ def _hashes(text: Column) -> list[Column]:
 def dedup(docs: DataFrame) -> DataFrame:
     """Remove repeated 100-byte strings from the texts' UTF-8 bytes (null: empty).
 
-    Takes ``doc_id`` (unique, not null; rows with a null one are left out) and ``text``. Of equal strings the one in the
-    smallest doc_id stays, and in one document the first; matches never cross documents. Returns per document ``doc_id,
-    n_bytes, n_removed, n_spans, kept_sha256, kept``: bytes, bytes removed, maximal removed runs, and what is left and
+    Takes ``doc_id`` (rows with a null one are left out) and ``text``. Of equal strings the one in the smallest doc_id stays,
+    and in one document the first; matches never cross documents. Repeats of a row are one document, and each has its
+    result; different texts of one doc_id are documents in the order of their hashes. Returns per row ``doc_id, n_bytes,
+    n_removed, n_spans, kept_sha256, kept``: bytes, bytes removed, maximal removed runs, and what is left and
     its hash. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _deduplicated(docs)
+    key = ["doc_id", "h1", "h2", "size"]
+    hashed = docs.select("doc_id", "text", *_hashes(F.col("text")))
+    rows = written(numbered(hashed.select(*key).distinct(), key, "row"), "rows")
+    once = hashed.groupBy(*key).agg(F.first("text").alias("text")).join(rows, key).select(F.col("row").alias("doc_id"), "text")
+    found = _deduplicated(written(once, "once")).withColumnRenamed("doc_id", "row")
+    return hashed.select(*key).join(rows, key).select("doc_id", "row").join(found, "row").drop("row")
+
+
+def _deduplicated(docs: DataFrame) -> DataFrame:
+    """``dedup`` of documents with ids of their own."""
     long_ = docs.where(F.octet_length("text") >= LENGTH)
     hashed = written(long_.select("doc_id", *_hashes(F.col("text"))), "hashes")
     first = hashed.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
