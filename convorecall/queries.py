@@ -17,7 +17,7 @@ from convorecall.operators import blockmax, curate, embed, evaluate, ivf, search
 from convorecall.operators import sessions as S
 from convorecall.plans import recall as R
 from convorecall.sources import conversations as C
-from convorecall.sources import store
+from convorecall.sources import segments, store
 from convorecall.tables import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -854,6 +854,26 @@ def store_refresh(spark, sf_dir):
     return out.select("conversation_key", "n", F.md5(F.array_join(F.transform("rows", lambda x: x["content_text"]), "|")).alias("content_md5"))
 
 
+_REFRESHED = INDEX[len(MEMORIES) :].replace("from memories)", "from refreshed)")
+
+
+@query(f"""with {MEMORIES}, refreshed as (select memory_key, case when conversation_name in ('src1', 'src2', 'src7') then 'brand new ' || conversation_name else content_text end content_text
+  from memories where conversation_name not in ('src1', 'src2', 'src7') or memory_key % 3 = 1){_REFRESHED}
+select term, count(*) df, sum(tf)::bigint tf, round(any_value(idf), 6) idf, (select n from sizes) n, (select round(avgdl, 6) from sizes) avgdl from postings join stats using (term) group by term""")
+def refreshed_index(spark, sf_dir):
+    """Statistics of a segmented index after two refreshes: those of an index built again."""
+    m = _memories(spark, sf_dir).select(F.col("conversation_name").alias("conversation_key"), "memory_key", "content_text")
+    path = fresh_path(spark, "segments")
+    segments.create(m, path)
+    fresh = m.where("memory_key % 3 = 1").withColumn("content_text", F.concat(F.lit("brand new "), "conversation_key"))
+    for names in (["src1", "src2"], ["src7"]):
+        segments.refresh(spark, path, fresh.where(F.col("conversation_key").isin(names)))
+    index = segments.load(spark, path)
+    sums = index["postings"].groupBy("term").agg(F.sum("tf").alias("tf"))
+    sizes = index["corpus_stats"].select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index["term_stats"].join(sums, "term").crossJoin(F.broadcast(sizes)).select("term", "df", "tf", F.round("idf", 6).alias("idf"), "n", "avgdl")  # one row
+
+
 @query(f"with {INDEX} select term, count(*) df, sum(tf)::bigint tf, round(any_value(idf), 6) idf, (select n from sizes) n from postings join stats using (term) group by term")
 def saved_index(spark, sf_dir):
     """A text index saved and loaded."""
