@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convorecall.functions import text as T
 from convorecall.functions import times
-from convorecall.operators import blockmax, curate, embed, evaluate, ivf, search, threshold
+from convorecall.operators import blockmax, curate, embed, evaluate, ivf, search, threshold, weights
 from convorecall.operators import sessions as S
 from convorecall.plans import recall as R
 from convorecall.sources import conversations as C
@@ -486,6 +486,23 @@ def best_weight(spark, sf_dir):
     return _rounded(evaluate.best_weight(evaluate.separation(_grid(spark, sf_dir)), "avg_diff"), "avg_diff")
 
 
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _memories(spark, sf_dir)
+    return weights.curve(search.components(m, search.build_index(m), _asked(m), 5))
+
+
+@query(f"{_DIFF} select bm25_weight, round(avg_diff, 6) avg_diff from s")
+def weight_curve(spark, sf_dir):
+    """The exact curve of separation over all weights, at the four of the grid."""
+    return _rounded(weights.at_weights(_curve(spark, sf_dir), evaluate.weight_table(spark)), "avg_diff")
+
+
+@query()
+def best_weight_interval(spark, sf_dir):
+    """The weights from 0 to 1 under which first hits stand out most."""
+    return _rounded(weights.best_interval(_curve(spark, sf_dir)), "avg_diff", "from_weight", "to_weight")
+
+
 _JUDGED = """judged as (select doc_id, case when doc_id % 7 = 0 then 5 else greatest(10 * quality - 5 * toxic, 0) end::double relevance from labels),
 rel as (select w, query_id, "rank", coalesce(relevance, 0) relevance from top left join judged on memory_key = doc_id where "rank" <= 3),
 pq as (select w, query_id, sum(relevance) total, count(*) n, max(relevance) filter ("rank" = 1) f from rel group by all)"""
