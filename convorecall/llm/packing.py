@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convorecall.llm.scratch import written
+from convorecall.llm.scratch import small, written
 from convorecall.llm.textkit import map_texts, string_column, text_slices
 from convorecall.llm.tokens import encoder
 
@@ -217,13 +217,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     loose = pieces.where(~full)
     salts = max(SALTS, loose.count() // SALT_PIECES)
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
-    per_salt = loose.groupBy("length", salt.alias("salt")).count()
-    counts: Counts = {}
-    parts = {(r.length, r.salt): r["count"] for r in per_salt.collect()}  # at most capacity * salts rows
-    before = []
-    for length, s in sorted(parts):
-        before.append((length, s, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + parts[length, s]
+    per_salt = written(loose.groupBy("length", salt.alias("salt")).count(), "salts")
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = written(per_salt.select("length", "salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before")), "before")
+    counts: Counts = {r.length: r.n for r in per_salt.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
     slots, base, taken = [], 0, dict.fromkeys(counts, 0)
     for filling, times in bin_completion(counts, capacity):
         at = 0
@@ -234,11 +231,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             at += each * s
         base += times
     spark = docs.sparkSession
-    before = spark.createDataFrame(before, "length long, salt int, before long")
     slots = spark.createDataFrame(slots, "length long, low long, high long, each long, base long, at long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = loose.withColumn("salt", salt).withColumn("own", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
+    ranked = ranked.join(small(before), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     # the slots are patterns of lengths: at most capacity patterns of few pieces each, whatever the number of documents
     placed = ranked.join(F.broadcast(slots), "length").where("rank >= low and rank < high")
     turn = F.col("rank") - F.col("low")
