@@ -27,7 +27,7 @@ WARM_BYTES = 2_000_000
 #: Streams that a task follows side by side, and symbols that it gathers for them.
 STREAMS = 256
 GATHERED = STREAMS * 512
-#: Tasks that add up the models of all others.
+#: Models that one task adds up; their sums are added up in turn, until so many are left for the driver.
 ADDERS = 16
 CHUNK = 12_000_000  # bytes of text, about
 
@@ -168,7 +168,11 @@ def fit(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray]) -> gated_lm.
     model = gated_lm.warmed(model, [words[e - n : e] for e, n in zip(ends, lengths)])
     kinds = "weighted binary, seen long"
     models = written(map_texts(docs.select("text"), _train(model), kinds), "models")
-    sums = models.coalesce(ADDERS).mapInArrow(_sum, kinds).collect()  # at most ADDERS rows
+    left = models.count()
+    while left > ADDERS:
+        left = -(-left // ADDERS)
+        models = models.repartition(left).mapInArrow(_sum, kinds)
+    sums = models.collect()  # at most ADDERS rows
     if not sums:  # no words at all
         return model
     mean = sum(np.frombuffer(r.weighted, np.float64) for r in sums) / sum(r.seen for r in sums)
