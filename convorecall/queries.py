@@ -834,17 +834,45 @@ def embedding_summary(spark, sf_dir):
 from (select conv_id, row_number() over (partition by conv_id order by turn) - 1 turn, role, text from conversations) where conv_id % 25 <> 3""")
 def conversation_files(spark, sf_dir):
     """Conversations as JSON, one in 25 of them cut off, read back to messages."""
-    c = _table(spark, sf_dir, "conversations").withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
-    message = F.struct(F.col("turn").alias("o"), F.col("role").alias("sender"), F.col("role").alias("accountName"), (1704067200 + F.col("conv_id") * 86400 + F.col("turn") * 60).alias("timestamp"), F.lit(0).alias("type"), F.col("text").alias("content"))
-    whole = F.to_json(F.struct(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.lit("group").alias("type")).alias("meta"), F.array().cast("array<struct<accountName: string>>").alias("members"), F.transform("m", lambda x: x.dropFields("o")).alias("messages")))
-    lines = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m")).select(F.when(F.col("conv_id") % 25 == 3, F.substring(whole, 1, 60)).otherwise(whole).alias("value"))
     path = fresh_path(spark, "chats")
-    lines.write.text(path)
+    _bodies(spark, sf_dir).select("value").write.text(path)
     read = C.read_conversation_lines(spark, path)
     found = C.messages_of(C.valid(read)).crossJoin(F.broadcast(C.bad_files(read)))  # one row
     return found.select("conversation_key", "conversation_type", "seq", "sender_name", F.unix_timestamp("ts").alias("epoch"), "content", "msg_type", "bad_files", "read_files")
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, value``: each conversation as JSON, one in 25 of them cut off."""
+    c = _table(spark, sf_dir, "conversations").withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    message = F.struct(F.col("turn").alias("o"), F.col("role").alias("sender"), F.col("role").alias("accountName"), (1704067200 + F.col("conv_id") * 86400 + F.col("turn") * 60).alias("timestamp"), F.lit(0).alias("type"), F.col("text").alias("content"))
+    whole = F.to_json(F.struct(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.lit("group").alias("type")).alias("meta"), F.array().cast("array<struct<accountName: string>>").alias("members"), F.transform("m", lambda x: x.dropFields("o")).alias("messages")))
+    built = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    return built.select("conv_id", F.when(F.col("conv_id") % 25 == 3, F.substring(whole, 1, 60)).otherwise(whole).alias("value"))
+
+
+@query("""with c as (select conv_id, conv_id % 7 kind, row_number() over (partition by conv_id order by turn) - 1 turn, role, text from conversations),
+found as (select * from c where kind not in (2, 3))
+select concat('c', conv_id) conversation_key, turn::bigint seq, role sender_name, 1704067200 + conv_id * 86400 + turn * 60 epoch, text content,
+  (select count(distinct conv_id) from found where conv_id % 25 = 3) bad_files, (select count(distinct conv_id) from found where conv_id % 25 <> 3) read_files
+from found where conv_id % 25 <> 3""")
+def conversation_tree(spark, sf_dir):
+    """Conversations as one file each in a tree, found and read back.
+
+    Of seven, one lies a folder deeper, one in a dot folder and one under another name, which are not found, and one has a
+    second file a folder deeper, which its own hides.
+    """
+    name, kind = F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("conv_id") % 7
+    path = F.when(kind == 1, F.concat(F.lit("of_"), name, F.lit("/"), name, F.lit("/"), name)).when(kind == 2, F.concat(F.lit("."), name, F.lit("/."), name))
+    path = path.when(kind == 3, F.concat(name, F.lit("/other"))).otherwise(F.concat(name, F.lit("/"), name))
+    files = _bodies(spark, sf_dir).select("conv_id", F.concat(path, F.lit(".json")).alias("path"), F.col("value").alias("body"))
+    hidden = files.where(kind == 4).select("conv_id", F.concat(name, F.lit("/inner/inner.json")).alias("path"), "body")
+    root = fresh_path(spark, "tree")
+    C.write_files(files.unionByName(hidden), root)
+    read = C.read_tree(spark, root)
+    found = C.messages_of(C.valid(read)).crossJoin(F.broadcast(C.bad_files(read)))  # one row
+    return found.select("conversation_key", "seq", "sender_name", F.unix_timestamp("ts").alias("epoch"), "content", "bad_files", "read_files")
+
+
 @query("""select concat('u', user_id) conversation_key, row_number() over (partition by user_id order by ts, event_type, props) - 1 seq, event_type sender_name, epoch_us(ts) us, concat(props, ',"', chr(10), props) content,
   case when event_type = 'error' then 1 else 0 end msg_type from events""")
 def tabular_files(spark, sf_dir):
@@ -916,6 +944,15 @@ def written_lists(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query(SQL["labelled_metrics"])
+def written_evaluation(spark, sf_dir):
+    """Evaluation by type of query, written as JSON and read back."""
+    m = labelled_metrics(spark, sf_dir)
+    path = fresh_path(spark, "evaluation")
+    C.write_list(m, path, "json")
+    return spark.read.schema(m.schema).json(path)
+
+
 @query(f"""{PROFILE}, o as (select *, row_number() over (order by idle_days desc, conversation_key) k, count(*) over () n from profile where conversation_type = 'group' and idle_days > 3)
 select conversation_key, idle_days, greatest(n - 20, 0) more from o where k <= 20""")
 def list_preview(spark, sf_dir):

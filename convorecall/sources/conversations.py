@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,12 @@ def read_conversation_lines(spark: SparkSession, paths: str | list[str]) -> Data
     return df.select("*", F.col("meta.name").alias("conversation_key"), F.col("_metadata.file_path").alias("file_path"))
 
 
+def _matches(spark: SparkSession, glob: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Conversations under ``root``: ``x/x.json``, or ``x/y/y.json`` where ``x`` has none of its own; no dot folders."""
 
@@ -32,15 +41,47 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         return found.where("folder = stem and not startswith(folder, '.') and not startswith(parent, '.')")
 
     def maybe(glob: str) -> DataFrame:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{glob}")
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-        return level(glob) if found is not None and len(found) else spark.createDataFrame([], "path string, folder string, parent string, stem string")
+        return level(glob) if _matches(spark, f"{root}/{glob}") else spark.createDataFrame([], "path string, folder string, parent string, stem string")
 
     own = maybe("*/*.json")
     deeper = maybe("*/*/*.json").join(own.select(F.col("folder").alias("parent")), "parent", "left_anti")
     return own.select("path", "folder").unionByName(deeper.select("path", "folder"))
 
 
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The conversations that `discover` finds under ``root``, read as by `read_conversations`; a tree without any gives no rows.
+
+    Both levels are read by their globs and joined with the files found, so that no list of files passes through the driver.
+    """
+    globs = [g for g in (f"{root}/*/*.json", f"{root}/*/*/*.json") if _matches(spark, g)]
+    if not globs:
+        return spark.createDataFrame([], CONVERSATION).select("*", F.lit("").alias("conversation_key"), F.lit("").alias("file_path"))
+    same = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  one slash or three after the scheme
+    found = discover(spark, root).select(same(F.col("path")).alias("_path"))
+    return read_conversations(spark, globs).withColumn("_path", same(F.url_decode("file_path"))).join(found, "_path", "left_semi").drop("_path")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row's ``body`` as the file ``path`` below ``root``, and return their number; a task that runs again writes the same again.
+
+    ``root`` is the URI of a file system that pyarrow opens. A null body is an empty file; rows with a null
+    path are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return files.where("path is not null").select("path", "body").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def valid(conversations: DataFrame) -> DataFrame:
     """Conversations that could be read."""
     return conversations.where("_corrupt_record is null").drop("_corrupt_record")

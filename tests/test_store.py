@@ -59,3 +59,16 @@ def test_tabular_and_profile(spark):
     rows = {r.conversation_key: r for r in curate.profile(messages, curate.as_of(2024, 1, 12), everyone).collect()}
     assert rows["default"].days_since_last == 10 and rows["empty"].message_count == 0 and rows["empty"].days_since_last > 8000
     assert curate.summary(curate.profile(messages.limit(0), curate.as_of(2024, 1, 1)), everyone).first().removed_percent == 0.0
+
+
+def test_tree_is_written_found_and_read(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    assert C.read_tree(spark, root).count() == 0
+    body = '{"meta": {"name": "n", "type": "group"}, "messages": [{"sender": "a", "timestamp": 1, "content": "hi"}]}'
+    paths = ["a b/a b.json", "up/low/low.json", "a b/in/in.json", ".dot/.dot.json", "x/other.json"]
+    rows = [*[(p, body) for p in paths], ("cut/cut.json", body[:50]), (None, body)]
+    assert C.write_files(spark.createDataFrame(rows, "path string, body string"), root) == 6
+    read = C.read_tree(spark, root).cache()
+    assert sorted(r.conversation_key for r in read.collect()) == ["a b", "cut", "low"]
+    assert C.bad_files(read).first().asDict() == {"bad_files": 1, "read_files": 2}
+    assert sorted((r.conversation_key, r.content) for r in C.messages_of(C.valid(read)).collect()) == [("a b", "hi"), ("low", "hi")]
