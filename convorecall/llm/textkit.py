@@ -6,6 +6,7 @@ memory of a worker does not depend on the number of rows in a batch. Null texts
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,12 +54,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers are kept between tasks, and an executor pays for all that they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def sparing(run):
+    """``run`` over batches, with freed memory given back after each one and at the end."""
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(one_by_one(batches))
+        give_back()
+
+    return spared
+
+
 def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in batches of few bytes; a session with a smaller bound keeps it."""
+    """``df.mapInArrow(run, schema)`` in batches of few bytes, giving memory back between them; a session with a smaller bound keeps it."""
     conf = df.sparkSession.conf
     if int(conf.get(_BYTES).rstrip("bB")) > BATCH_BYTES:
         conf.set(_BYTES, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(sparing(run), schema)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
