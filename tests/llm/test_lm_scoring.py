@@ -134,3 +134,14 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, score int")
     row = lm_scoring.score(df, F.lit(False)).first()
     assert row.train_tokens == 0 and row.n_known == 0 and math.isclose(row.base_score, 0.0, abs_tol=1e-9)
+
+
+def test_models_are_added_up_in_rounds(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    words, counts = np.unique(lm_scoring._hashes(pa.array([t for _, t in rows]))[0], return_counts=True)
+    made = []
+    for adders in (100, 2):
+        monkeypatch.setattr(lm_scoring, "ADDERS", adders)
+        made.append(lm_scoring._flat(lm_scoring.fit(docs, gated_lm.vocabulary_of(words, counts))))
+    assert np.allclose(*made, atol=1e-5)
