@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convorecall.operators.search import _by_block, _first, _matrix, cosine
+from convorecall.operators.products import first
+from convorecall.operators.search import _by_block, _matrix, cosine
 from convorecall.tables import written
 
 #: Vectors that training reads at most for each cell or word, and those among which first means are picked.
@@ -190,9 +191,9 @@ def _scored(book: Codebook, unit: np.ndarray, ids: np.ndarray, asked: dict[int,
                         near = np.arange(len(own)) if len(own) <= keep else np.flatnonzero(row >= np.partition(row, -keep)[-keep])
                         best.append(np.rec.fromarrays([np.full(len(near), j), -row[near], keys[own[near]], np.full(len(near), cells[own[0]])], names="q,v,key,c"))
             if sum(map(len, best)) > 4 * keep * len(ids) + 100_000:
-                best = [_first(np.concatenate(best), keep)]
+                best = [first(np.concatenate(best), keep)]
         if best:
-            b = _first(np.concatenate(best), keep)
+            b = first(np.concatenate(best), keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[b.q], pa.int64()), pa.array(b.c, pa.int64()), pa.array(b.key, pa.int64()), pa.array(-b.v, pa.float64())], names=["query_id", "cell", "memory_key", "rough"])
 
     return run
