@@ -4,7 +4,7 @@ Vectors of unit length go to the cell of their nearest centroid; what is left of
 the nearest of a few words of that part. Centroids and words are k-means means over a bounded sample: tasks assign their
 vectors and send sums, never vectors. The coded lists are written in ranges of cells, so that a search reads the row
 groups of the cells that it probes and no others, and a large cell lies in many files. A query scores the codes of its
-cells by tables of inner products, and the best of them again by their vectors, which lie beside the codes.
+cells by tables of inner products, and by their vectors, which lie beside the codes, all those that the codes do not rule out.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SAMPLE_EACH, SEEDS_EACH = 256, 32
 BLOCK = 1000
 #: Probed cells up to which the scan is told their numbers.
 LISTED = 2000
+#: What scores by codes, which are sums of short numbers, may be off.
+SLACK = 1e-4
 
 
 @dataclass
@@ -82,6 +84,48 @@ def _seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return means
 
 
+def _spread(rows: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest mean of each row, its squared distance, and that of the second nearest."""
+    far = np.maximum((rows * rows).sum(1)[:, None] - 2 * rows @ means.T + (means * means).sum(1), 0.0)
+    two = np.partition(far, 1, axis=1) if len(means) > 1 else np.repeat(far, 2, axis=1)
+    return far.argmin(1), two[:, 0], two[:, 1]
+
+
+def _settled(rows: np.ndarray, means: np.ndarray, rounds: int) -> np.ndarray:
+    """A few of Lloyd's rounds over rows at hand."""
+    for _ in range(rounds):
+        near = _spread(rows, means)[0]
+        held, total = np.bincount(near, minlength=len(means)), np.zeros(means.shape)
+        np.add.at(total, near, rows)
+        means = np.where(held[:, None] > 0, total / np.maximum(held, 1)[:, None], means)
+    return means
+
+
+def _swapped(rows: np.ndarray, means: np.ndarray, tries: int = 5) -> np.ndarray:
+    """First means after swaps: a mean that is missed least goes into a cell that is spread most, as long as the rows come nearer.
+
+    Lloyd's rounds alone leave a cluster with two means and two clusters with one as they are.
+    """
+    if not len(rows):
+        return means
+    means = _settled(rows, means, 5)
+    for _ in range(len(means)):
+        near, least, second = _spread(rows, means)
+        missed, spread = (np.bincount(near, x, len(means)) for x in (second - least, least))
+        for i, j in ((i, j) for i in np.argsort(missed, kind="stable")[:tries] for j in np.argsort(-spread, kind="stable")[:tries] if i != j):
+            if not spread[j] > 0:
+                continue
+            tried, own = means.copy(), np.flatnonzero(near == j)
+            tried[i] = rows[own[least[own].argmax()]]
+            tried = _settled(rows, tried, 5)
+            if _spread(rows, tried)[1].sum() < least.sum() * (1 - 1e-6):
+                means = tried
+                break
+        else:
+            break
+    return means
+
+
 def _sums(shape: Callable[[np.ndarray], np.ndarray], means: np.ndarray, width: int):
     """Per task: number and sum of the rows nearest to each mean of each part."""
 
@@ -139,12 +183,12 @@ def train(memories: DataFrame, cells: int = 256, parts: int = 16, words: int = 2
     most = max(cells, words)
     sample = written(_drawn(vectors, SAMPLE_EACH * most, seed).repartition("memory_key"), "sample")
     rng = np.random.default_rng(seed)
-    first = _matrix(_drawn(sample, SEEDS_EACH * most, seed + 1).toArrow().column("content_embedding").combine_chunks(), width)  # bounded
+    drawn = _matrix(_drawn(sample, SEEDS_EACH * most, seed + 1).toArrow().column("content_embedding").combine_chunks(), width)  # bounded
     sample = sample.select("content_embedding")
-    book = Codebook(_means(sample, lambda x: x[:, None], _seeds(first, cells, rng)[None], width, rounds)[0])
+    book = Codebook(_means(sample, lambda x: x[:, None], _swapped(drawn, _seeds(drawn, cells, rng))[None], width, rounds)[0])
     size = -(-width // parts)
     book.words = np.zeros((-(-width // size), words, size))
-    left = book.parts(first, book.cells(first))
+    left = book.parts(drawn, book.cells(drawn))
     seeds = np.stack([_seeds(left[:, p], words, rng) for p in range(left.shape[1])])
     book.words = _means(sample, lambda x: book.parts(x, book.cells(x)), seeds, width, rounds)
     return book
@@ -157,19 +201,25 @@ def _coded(book: Codebook):
             cells = book.cells(unit)
             left = book.parts(unit, cells)
             codes = np.stack([_nearest(left[:, p], book.words[p]) for p in range(left.shape[1])], 1).astype("<u2")
-            yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["cell", "memory_key", "content_embedding", "code"])
+            lost = left - np.stack([book.words[p][codes[:, p]] for p in range(left.shape[1])], 1)
+            lost = np.sqrt((lost * lost).sum((1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost)], names=["cell", "memory_key", "content_embedding", "code", "lost"])
 
     return run
 
 
 def index(memories: DataFrame, book: Codebook) -> DataFrame:
-    """Coded lists of all memories, ``cell, memory_key, content_embedding, code``: a written table in ranges of cell and key."""
-    coded = memories.select("memory_key", "content_embedding").mapInArrow(_coded(book), "cell long, memory_key long, content_embedding array<float>, code binary")
+    """Coded lists of all memories, ``cell, memory_key, content_embedding, code, lost`` (length of what the code leaves out): a written table in ranges of cell and key."""
+    coded = memories.select("memory_key", "content_embedding").mapInArrow(_coded(book), "cell long, memory_key long, content_embedding array<float>, code binary, lost double")
     return written(written(coded, "codes").repartitionByRange("cell", "memory_key").sortWithinPartitions("cell", "memory_key"), "lists")
 
 
-def _scored(book: Codebook, unit: np.ndarray, ids: np.ndarray, asked: dict[int, np.ndarray], keep: int):
-    """Per task: the ``keep`` best of each query by their codes."""
+def _scored(book: Codebook, unit: np.ndarray, ids: np.ndarray, asked: dict[int, np.ndarray], k: int, keep: int):
+    """Per task: the ``keep`` best of each query.
+
+    The ``keep`` best by their codes are scored by their vectors; of the others, those whose code and what it leaves out
+    do not rule out the k best.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, centre = book.tables(unit).astype(np.float32), (unit @ book.centroids.T).astype(np.float32)
@@ -177,6 +227,7 @@ def _scored(book: Codebook, unit: np.ndarray, ids: np.ndarray, asked: dict[int,
         for batch in batches:
             cells, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(keys), -1)
+            lost, vectors = batch.column(3).to_numpy(), _matrix(batch.column(4), book.width)
             order = np.argsort(cells, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
                 queries = asked.get(int(cells[own[0]])) if len(own) else None
@@ -189,7 +240,15 @@ def _scored(book: Codebook, unit: np.ndarray, ids: np.ndarray, asked: dict[int,
                         score += tables[q, p][:, codes[own, p]]
                     for j, row in zip(q, score):
                         near = np.arange(len(own)) if len(own) <= keep else np.flatnonzero(row >= np.partition(row, -keep)[-keep])
-                        best.append(np.rec.fromarrays([np.full(len(near), j), -row[near], keys[own[near]], np.full(len(near), cells[own[0]])], names="q,v,key,c"))
+                        value = vectors[own[near]] @ unit[j]
+                        if len(near) < len(own):
+                            kth = np.partition(value, -k)[-k] if len(near) >= k else -np.inf
+                            near = np.union1d(near, np.flatnonzero(row + lost[own] >= kth - SLACK))
+                            value = vectors[own[near]] @ unit[j]
+                        if len(near) > keep:
+                            high = value >= np.partition(value, -keep)[-keep] - SLACK
+                            near, value = near[high], value[high]
+                        best.append(np.rec.fromarrays([np.full(len(near), j), -value, keys[own[near]], np.full(len(near), cells[own[0]])], names="q,v,key,c"))
             if sum(map(len, best)) > 4 * keep * len(ids) + 100_000:
                 best = [first(np.concatenate(best), keep)]
         if best:
@@ -212,11 +271,14 @@ def probed(book: Codebook, queries: DataFrame, probes: int) -> DataFrame:
 
 
 def search(lists: DataFrame, book: Codebook, queries: DataFrame, k: int = 10, probes: int = 8, keep: int = 100) -> DataFrame:
-    """``query_id, memory_key, vector, rank``: of the ``keep`` best by their codes in the ``probes`` cells of each query, the ``k`` best by cosine.
+    """``query_id, memory_key, vector, rank``: the ``k`` best by cosine in the ``probes`` cells of each query.
 
+    Codes only leave out what cannot be among them; ``keep`` (at least k) rows a query and task are scored by their vectors at first.
     Queries go block by block; a null or zero vector finds whatever its cells hold. Repeated keys are ranked one by one.
     """
 
+    keep = max(k, keep)
+
     def block(asked: DataFrame) -> DataFrame:
         rows = asked.select("query_id", "content_vec").toArrow().combine_chunks().sort_by("query_id")  # a counted block
         ids = rows.column("query_id").to_numpy()
@@ -226,7 +288,7 @@ def search(lists: DataFrame, book: Codebook, queries: DataFrame, k: int = 10, pr
         cells = np.unique(flat)
         wanted = {int(c): row[flat == c] for c in cells}
         here = lists.where(F.col("cell").isin([int(c) for c in cells])) if len(cells) <= LISTED else lists
-        rough = here.select("cell", "memory_key", "code").mapInArrow(_scored(book, unit, ids, wanted, keep), "query_id long, cell long, memory_key long, rough double")
+        rough = here.select("cell", "memory_key", "code", "lost", "content_embedding").mapInArrow(_scored(book, unit, ids, wanted, k, keep), "query_id long, cell long, memory_key long, rough double")
         best = Window.partitionBy("query_id").orderBy(F.desc("rough"), "memory_key")
         rough = rough.distinct().withColumn("r", F.row_number().over(best)).where(f"r <= {keep}").drop("r")
         found = here.select("cell", "memory_key", "content_embedding").join(F.broadcast(rough), ["cell", "memory_key"])  # keep rows a query of a block

@@ -70,3 +70,22 @@ def test_seeds_take_every_cluster():
     means = ivf._seeds(rows, 12, rng)
     assert sorted(means.argmax(1).tolist()) == list(range(12))
     assert search.MAX_QUERIES == 10_000
+
+
+def test_swaps_mend_a_cluster_with_two_means():
+    rng = np.random.default_rng(0)
+    centres = np.eye(12) * 10
+    rows = np.repeat(centres, 30, axis=0) + rng.normal(size=(360, 12))
+    means = np.concatenate([centres[:10], centres[9:10] + 0.5, (centres[10:11] + centres[11:]) / 2])  # the last two clusters share one
+    assert len(set(ivf._nearest(centres, ivf._settled(rows, means, 50)).tolist())) == 11
+    assert len(set(ivf._nearest(centres, ivf._swapped(rows, means)).tolist())) == 12
+
+
+def test_few_kept_is_exact_too(spark):
+    vectors = np.random.default_rng(5).normal(size=(400, 12)).astype(np.float32)
+    m = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "memory_key long, content_embedding array<float>")
+    book = ivf.train(m, cells=3, parts=2, words=2, rounds=2)
+    asked = m.where("memory_key < 12").select(F.col("memory_key").alias("query_id"), F.col("content_embedding").alias("content_vec"))
+    rows = ivf.search(ivf.index(m, book), book, asked, 5, probes=3, keep=5).orderBy("query_id", "rank").collect()
+    for q in range(12):
+        assert [r.memory_key for r in rows if r.query_id == q] == best(vectors, np.arange(400), vectors[q], 5)
