@@ -22,7 +22,7 @@ class Asked:
         self.ids = queries.combine_chunks().sort_by("query_id").column("query_id").combine_chunks()
         self.n = len(self.ids)
         terms = terms.combine_chunks()
-        query = self._places(terms.column("query_id"))
+        query = self.places(terms.column("query_id"))
         self.terms, at = np.unique(terms.column("id").to_numpy(), return_inverse=True)
         times = terms.column("qtf").to_numpy().astype(float)
         self.held = np.bincount(at, minlength=len(self.terms))
@@ -35,11 +35,15 @@ class Asked:
         self.queries, self.times = query[order], times[order]
         self.starts = np.cumsum(self.held) - self.held
 
-    def _places(self, ids: pa.ChunkedArray) -> np.ndarray:
+    def places(self, ids: pa.ChunkedArray) -> np.ndarray:
         place = pa.table({"query_id": self.ids, "place": pa.array(np.arange(self.n))})
         rows = pa.table({"query_id": ids, "row": pa.array(np.arange(len(ids)))})
         return rows.join(place, "query_id").sort_by("row").column("place").to_numpy()
 
+    def table(self) -> pa.Table:
+        """``query_id, id, qtf`` of the block."""
+        return pa.table({"query_id": self.ids.take(pa.array(self.queries)), "id": np.repeat(self.terms, self.held), "qtf": self.times})
+
     def scores(self, terms: pa.ListArray, impacts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """[memory, query]: sums of the impacts of shared terms, and whether any is shared."""
         lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -55,6 +59,14 @@ class Asked:
             return out, self._summed(len(lengths), row, at, np.ones(len(impact))) > 0
         return out, out > 0
 
+    def counted(self, terms: pa.ListArray, numbers: pa.ListArray) -> np.ndarray:
+        """[row, query]: sums of the numbers of shared terms, each term of a query once."""
+        times, matrix = self.times, self.matrix
+        self.times, self.matrix = np.ones(len(times)), None
+        out = self.scores(terms, numbers)[0]
+        self.times, self.matrix = times, matrix
+        return out
+
     def _summed(self, n: int, row: np.ndarray, at: np.ndarray, impact: np.ndarray) -> np.ndarray:
         column, width = self.dense[at], self.width
         full = column >= 0

@@ -1,8 +1,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from convorecall.operators import search
+from convorecall.operators import blockmax, search
 from convorecall.operators.products import Band, band
+from convorecall.tables import written
 
 
 def needed(words, vectors, keys, k):
@@ -57,3 +58,19 @@ def test_vectors_are_multiplied_and_copies_tie_by_key(spark, monkeypatch):
     assert [r.memory_key for r in found.where("query_id = 2").orderBy("rank").collect()] == [r.memory_key for r in exact.collect()]
     related = search.related(m, m.where(F.col("memory_key") == 3), 4).first().related
     assert related == [0, 6, 9, 12]
+
+
+def test_no_bounds_of_queries_and_ranges_are_written(spark, monkeypatch):
+    m = alike(spark, 300)
+    built = blockmax.build(search.build_index(m), 2)
+    q = spark.createDataFrame([(i, "common w1 w2") for i in range(6)], "query_id long, query_text string")
+    held = []
+
+    def counted(df, name="table"):
+        out = written(df, name)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(blockmax, "written", counted)
+    assert {r.blocks for r in blockmax.report(built, q, 5, 1).collect()} == {built["blocks"].where("term in ('common', 'w1', 'w2')").count()}
+    assert held and max(held) <= 150
