@@ -6,6 +6,7 @@ A text is cut where its pre-tokenizer cuts anyway, whatever the context; the pie
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -14,6 +15,9 @@ from convorecall.llm.textkit import _RAW, _SPACE, _powers, mix
 #: Pieces that a worker remembers; the memory is emptied beyond it.
 REMEMBERED = 500_000
 _LINE = 100_000
+#: Lower-cased words that no normalizer changes and no pre-tokenizer of words parts.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_PROBE = ["a", "ab", "straße", "élève", "mañana", "informationstheorie", *"bcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"]
 
 
 def _odd_space(data: np.ndarray) -> np.ndarray:
@@ -46,8 +50,37 @@ class PieceEncoder:
         self.mark_id = mark[1]
         if len(mark) != 3:
             raise ValueError("the tokenizer does not keep the mark apart")
+        self.plain = self._plain_words(path) if kind == "word" else None
         self._forget()
 
+    def _plain_words(self, path: str):
+        """A tokenizer of the same model that is given plain words as bytes in its alphabet, and which ids end a word; none if the whole one differs on some."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tool = Tokenizer.from_file(path)
+        suffix = getattr(tool.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        alphabet = {b: chr(256 + k) for k, b in enumerate(hidden) if b != 32}
+        tool.normalizer, tool.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocab = tool.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.plain = tool, ends, alphabet
+        flat, size = self._encode_plain(_PROBE)
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(_PROBE, add_special_tokens=False)]
+        return self.plain if size is not None and size.tolist() == [len(x) for x in whole] and flat.tolist() == sum(whole, []) else None
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Ids of plain words one after another and each word's number of ids; nothing for it if the words are not told apart."""
+        tool, ends, alphabet = self.plain
+        line = " ".join(words).encode().decode("latin-1").translate(alphabet)
+        ids = np.array(tool.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(ends[ids])
+        return ids, np.diff(last, prepend=-1) if len(last) == len(words) and len(ids) == last[-1] + 1 else None
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -60,7 +93,8 @@ class PieceEncoder:
         if self.kind == "word":
             solid = ~_SPACE[data]
             cut = np.ones(n + 1, bool)
-            cut[1:n] = solid[1:] != solid[:-1]
+            letter = ((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)
+            cut[1:n] = (solid[1:] != solid[:-1]) | (letter[:-1] & ((data[1:] == 44) | (data[1:] == 46)))
         else:
             safe = (data > 32) & (data != 127)
             safe &= ~_odd_space(data)
@@ -81,8 +115,29 @@ class PieceEncoder:
             start, end = start[keep], end[keep]
         return start, end
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces in any order, and where each piece's begin and how many they are."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)] if self.plain else []
+        flat, begin, size, total = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32), 0
+        for lo in range(0, len(plain), _LINE // 10):
+            own = plain[lo : lo + _LINE // 10]
+            ids, sizes = self._encode_plain([texts[i] for i in own])
+            if sizes is None:
+                raise ValueError("pieces ran together")
+            size[own], begin[own] = sizes, total + np.cumsum(sizes) - sizes
+            flat.append(ids)
+            total += len(ids)
+        known = set(plain)
+        others = [i for i in range(len(texts)) if i not in known]
+        if others:
+            ids = self._encode_whole([texts[i] for i in others])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            size[others], begin[others] = sizes, total + np.cumsum(sizes) - sizes
+            flat += ids
+        return np.concatenate(flat), begin, size
+
+    def _encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         mark = self.mark.strip(" ")
         alone = [i for i, t in enumerate(texts) if mark in t or (self.kind == "byte" and (t[0].isspace() and t[0] != " " or t[-1:].isspace()))]
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
@@ -112,6 +167,11 @@ class PieceEncoder:
         """(ids of all rows one after another, number of ids of each row)."""
         rows = len(offsets) - 1
         start, end = self._cuts(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
+        if self.kind == "word" and len(data):
+            # capitals of ASCII, which the file's normalizer lowers, but not before what may combine with them
+            capital = (data >= 65) & (data <= 90)
+            capital[:-1] &= data[1:] < 128
+            data = np.where(capital, data | np.uint8(32), data) if self.plain else data
         if not len(start):
             return np.zeros(0, np.uint16), np.zeros(rows, np.int64)
         power, inverse = _powers(len(data) + 1)
@@ -128,14 +188,11 @@ class PieceEncoder:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             raw = data.tobytes()
-            ids = self._encode([raw[start[i] : end[i]] for i in first[fresh].tolist()])
-            size = np.fromiter(map(len, ids), np.int32, len(ids))
-            begin = self.pooled + np.concatenate([[0], np.cumsum(size[:-1], dtype=np.int64)])
-            flat = np.concatenate(ids).astype(np.uint16)  # both vocabularies have fewer than 65,536 ids
-            self.pool.append(flat)
-            self.pooled += len(flat)
+            flat, begin, size = self._encode([raw[start[i] : end[i]] for i in first[fresh].tolist()])
+            self.pool.append(flat.astype(np.uint16))  # both vocabularies have fewer than 65,536 ids
             self.keys = np.insert(self.keys, at[fresh], own[fresh])
-            self.at = np.insert(self.at, at[fresh], begin)
+            self.at = np.insert(self.at, at[fresh], self.pooled + begin)
+            self.pooled += len(flat)
             self.size = np.insert(self.size, at[fresh], size)
             at = np.searchsorted(self.keys, own)
         if len(self.pool) > 1:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from convorecall.llm import packing, wavelet
+from convorecall.llm.tokens import PieceEncoder
 
 TEXTS = ["a b   c d\n\nf don't  it's 5 000 y　z", "", None, " lead", "trail ", "É é, Ça.Va,b . , \t tab\tq", "\x01 a\x01b", "<|endoftext|> x", "word " * 3000, "a\x00b"]
 
@@ -116,3 +117,23 @@ def test_wavelet(spark):
         assert m.count(token) == len(places) and m.count(token, 100, 2000) == sum(100 <= p < 2000 for p in places)
         assert [m.locate(token, k) for k in range(len(places))] == places
     assert wavelet.read_shards(wavelet.write_shards(df.limit(0), public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_words_are_remembered_once_whatever_their_case_and_end():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    texts = ["Straße straße, STRASSE. strasse", "H̱ ẖ ẖ İ Å,b 'S. 'Re, 'r,e don'T,x ÉTÉ été", "", "x" * 500 + ". Ünïcödé ﬁ ŉ ͅA", "a,b.c,D e\x01F. 1,2.3 a1.b", "<|StartOfText|> </w> </W>."]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("aAhHIſßéÉ̱̇̊.,' 1\x01日") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    tool = PieceEncoder(path, "word")
+    flat, counts = tool.encode(data, offsets)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(ids) for ids in want]
+    assert flat.tolist() == sum(want, [])
+    tool = PieceEncoder(path, "word")
+    line = np.frombuffer(b"Word word, WORD. word", np.uint8)
+    tool.encode(line, np.array([0, len(line)]))
+    assert len(tool.keys) == 3  # the word, a comma and a full stop
