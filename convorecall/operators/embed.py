@@ -6,14 +6,17 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convorecall.functions.text import token_estimate
 from convorecall.schema import DEFAULTS
 
+#: Rows whose requests are sent before their vectors leave the task.
+ANSWERED = 1000
+
 
 def token_batches(df: DataFrame, group: str, order: str, text: str | list[str], limit: int = DEFAULTS.batch_tokens) -> DataFrame:
     """``group, order, tokens, batch``: batches in order, each of at most ``limit`` estimated tokens or of one row.
@@ -54,6 +57,51 @@ def batch_stats(batched: DataFrame, group: str) -> DataFrame:
     return sizes.agg(F.count("*").alias("batches"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
 
 
+def _requests(embedder: Callable[[list[str]], np.ndarray], dim: int, group: str | None, limit: int, texts: int, errors: tuple[type[Exception], ...]):
+    """Rows in order to the same with both vectors; those of many requests leave together."""
+
+    def asked(column: pa.Array) -> np.ndarray:
+        try:
+            return np.asarray(embedder(column.to_pylist()), dtype=np.float32).reshape(len(column), dim)
+        except errors:
+            return np.zeros((len(column), dim), np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, count = None, 0, 0
+        held: list[pa.RecordBatch] = []  # rows of the request that has not ended
+
+        def answered(rows: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+            """``rows`` with the vectors of their requests, which end at ``ends``."""
+            vectors = []
+            for text in ("content_text", "context_text"):
+                column = rows.column(text).fill_null("")
+                parts = [asked(column.slice(lo, hi - lo)) for lo, hi in zip([0, *ends], ends)]
+                offsets = np.arange(0, rows.num_rows * dim + 1, dim, dtype=np.int32) if dim else np.zeros(rows.num_rows + 1, np.int32)
+                vectors.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).ravel())))
+            return pa.RecordBatch.from_arrays([*rows.columns, *vectors], names=[*rows.schema.names, "content_embedding", "context_embedding"])
+
+        for whole in batches:
+            for batch in (whole.slice(lo, ANSWERED) for lo in range(0, whole.num_rows, ANSWERED)):
+                sizes = sum(np.floor(pc.utf8_length(batch.column(c).fill_null("")).to_numpy(zero_copy_only=False) * 1.5).astype(np.int64) for c in ("content_text", "context_text")).tolist()
+                groups = batch.column(group).to_pylist() if group else [None] * len(sizes)
+                before, ends = sum(b.num_rows for b in held), []
+                for i, (g, n) in enumerate(zip(groups, sizes)):
+                    if count and (g != key or total + n > limit or count >= texts):
+                        ends.append(before + i)
+                        total, count = 0, 0
+                    key, total, count = g, total + n, count + 1
+                held.append(batch)
+                if ends:
+                    rows = pa.concat_batches(held)
+                    held = [rows.slice(ends[-1])]
+                    yield answered(rows.slice(0, ends[-1]), ends)
+        if held:
+            rows = pa.concat_batches(held)
+            yield answered(rows, [rows.num_rows])
+
+    return run
+
+
 def embed(
     sessions: DataFrame,
     embedder: Callable[[list[str]], np.ndarray],
@@ -71,39 +119,10 @@ def embed(
     gives zero vectors, which `run_summary` counts; any other error ends the job.
     """
 
-    def asked(column: pd.Series) -> list[list[float]]:
-        try:
-            return np.asarray(embedder(column.fillna("").tolist()), dtype=float).reshape(len(column), dim).tolist()
-        except errors:
-            return [[0.0] * dim] * len(column)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        key, total, count = None, 0, 0
-
-        def answered() -> pd.DataFrame:
-            rows = pd.concat(held)
-            held.clear()
-            return rows.assign(content_embedding=asked(rows["content_text"]), context_embedding=asked(rows["context_text"]))
-
-        for frame in frames:
-            sizes = sum((frame[c].fillna("").str.len() * 1.5).astype(int) for c in ("content_text", "context_text"))
-            groups = frame[group] if group else [None] * len(frame)
-            begin = 0
-            for i, (g, n) in enumerate(zip(groups, sizes)):
-                if count and (g != key or total + n > limit or count >= texts):
-                    held.append(frame.iloc[begin:i])
-                    yield answered()
-                    begin, total, count = i, 0, 0
-                key, total, count = g, total + n, count + 1
-            held.append(frame.iloc[begin:])
-        if held:
-            yield answered()
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sessions.schema.fields)
     if group:
         sessions = sessions.repartition(group).sortWithinPartitions(group, *(order or []))
-    return sessions.mapInPandas(run, f"{fields}, content_embedding array<float>, context_embedding array<float>")
+    return sessions.mapInArrow(_requests(embedder, dim, group, limit, texts, errors), f"{fields}, content_embedding array<float>, context_embedding array<float>")
 
 
 def hashed_embedding(df: DataFrame, text: str, out: str, dim: int = 256) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from convorecall.operators import curate, embed
@@ -72,3 +73,24 @@ def test_tree_is_written_found_and_read(spark, tmp_path):
     assert sorted(r.conversation_key for r in read.collect()) == ["a b", "cut", "low"]
     assert C.bad_files(read).first().asDict() == {"bad_files": 1, "read_files": 2}
     assert sorted((r.conversation_key, r.content) for r in C.messages_of(C.valid(read)).collect()) == [("a b", "hi"), ("low", "hi")]
+
+
+def test_requests_leave_a_task_together(spark):
+    texts = ["a" * 10, None, "b" * 20, "c" * 5] * 700
+    rows = [(f"g{i // 900}", i, t, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g string, i long, content_text string, context_text string").coalesce(1)
+    made = embed.embed(df, lambda t: np.full((len(t), 1), len(t)), 1, "g", ["i"], 40, 3)
+    want, request, key, total = {}, [], None, 0
+    for g, i, t, x in rows:
+        n = int(len(t or "") * 1.5) + int(len(x) * 1.5)
+        if request and (g != key or total + n > 40 or len(request) >= 3):
+            want |= dict.fromkeys(request, len(request))
+            request, total = [], 0
+        key, total = g, total + n
+        request.append(i)
+    want |= dict.fromkeys(request, len(request))
+    got = made.collect()
+    assert {r.i: r.content_embedding[0] for r in got} == want == {r.i: r.context_embedding[0] for r in got}
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["g", "i", "content_text", "context_text"])
+    sent = list(embed._requests(lambda t: np.full((len(t), 1), len(t)), 1, "g", 40, 3, (OSError,))(iter([batch])))
+    assert sum(b.num_rows for b in sent) == len(rows) and len(sent) < 10  # not a batch a request
