@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convorecall.tables import removed, scope, shared_dir, written
+from convorecall.tables import SMALL_ROWS, removed, scope, shared_dir, written
 
 __all__ = ["drawn", "removed", "scope", "shared_dir", "small", "texts_of", "written"]
 
 
-#: Rows of ids up to which a side of a join is sent to all executors; beyond it both sides are shuffled.
-SMALL_ROWS = 2_000_000
-
-
 def small(ids: DataFrame) -> DataFrame:
     """``ids``, a written table of a few bigint columns, with a broadcast hint if its counted rows are few enough."""
     return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convorecall.functions.text import bigrams, is_query_word, judged, relevance_or_score, tokens
 from convorecall.operators.search import components
 from convorecall.schema import WEIGHTS
+from convorecall.tables import few
 
 
 def frequent_words(messages: DataFrame, first: int = 50, k: int = 10) -> DataFrame:
@@ -73,8 +74,8 @@ def labelled_results(hits: DataFrame, labelled: DataFrame, memories: DataFrame,
     Returns the hits' columns up to rank ``k``, ``type, expected, content`` (the first ``chars`` characters), ``timestamp`` and
     ``matched``, the share of the expected keywords (or synonyms) that the memory's whole text holds.
     """
-    found = hits.where(F.col("rank") <= k).join(labelled.select("query_id", "type", "expected"), "query_id")
-    found = found.join(memories.select("memory_key", "content_text", F.col("start_timestamp").cast("bigint").alias("timestamp")), "memory_key")
+    found = few(hits.where(F.col("rank") <= k))
+    found = found.join(memories.select("memory_key", "content_text", F.col("start_timestamp").cast("bigint").alias("timestamp")), "memory_key").join(labelled.select("query_id", "type", "expected"), "query_id")
     low = F.lower("content_text")
     matched = F.coalesce(F.try_divide(F.size(F.filter("expected", lambda w: F.contains(low, F.lower(w)))), F.size("expected")), F.lit(0.0))
     return found.withColumns({"content": F.substring("content_text", 1, chars), "matched": matched}).drop("content_text")

@@ -9,6 +9,7 @@ from convorecall.functions.text import memory_id, recall_reason, strategy
 from convorecall.functions.times import time_context, window_bounds
 from convorecall.operators.search import hybrid_search
 from convorecall.schema import DEFAULTS
+from convorecall.tables import few
 
 
 def _request(requests: DataFrame, query_text: Column, kind: Column) -> DataFrame:
@@ -31,7 +32,7 @@ def recall(memories: DataFrame, index: dict[str, DataFrame], requests: DataFrame
             requests = requests.withColumn(name, F.lit(None).cast("double"))
     ranged = F.col("t_start").isNotNull() | F.col("t_end").isNotNull()
     requests = requests.withColumns({"t_start": F.when(ranged, F.coalesce("t_start", F.lit(0.0))), "t_end": F.when(ranged, F.coalesce("t_end", end))})
-    hits = hybrid_search(memories, index, requests, k, method=method).where(F.col("score") >= min_relevance)
+    hits = few(hybrid_search(memories, index, requests, k, method=method).where(F.col("score") >= min_relevance))
     texts = memories.select("memory_key", "content_text", "conversation_name", "participants", "start_timestamp")
     hits = hits.join(texts, "memory_key").join(requests.select("query_id", strategy(F.col("query_text"), F.col("recall_type")).alias("strategy")), "query_id")
     return hits.select(
@@ -85,5 +86,5 @@ def by_time(memories: DataFrame, index: dict[str, DataFrame], requests: DataFram
 def simple_search(memories: DataFrame, index: dict[str, DataFrame], queries: DataFrame, k: int = 5, method: str = "pruned") -> DataFrame:
     """Hits without strategy or threshold."""
     kind = queries.withColumn("recall_type", F.lit("semantic"))
-    hits = hybrid_search(memories, index, kind, k, method=method).join(memories.select("memory_key", "content_text", "conversation_name", "participants", "start_timestamp"), "memory_key")
+    hits = few(hybrid_search(memories, index, kind, k, method=method)).join(memories.select("memory_key", "content_text", "conversation_name", "participants", "start_timestamp"), "memory_key")
     return hits.select("query_id", "rank", "memory_key", memory_id(F.col("conversation_name"), F.col("start_timestamp")).alias("memory_id"), F.col("score").alias("relevance_score"), F.lit("关键词匹配").alias("recall_reason"), F.col("start_timestamp").cast("bigint").alias("timestamp"), "conversation_name", "participants")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from convorecall.tables import removed
 
 BUCKETS = 64
+#: Tables of a text index that are stored.
+TABLES = ("postings", "term_stats", "corpus_stats")
 
 
 def with_bucket(memories: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -41,11 +43,12 @@ def refresh(spark: SparkSession, path: str, fresh: DataFrame, buckets: int = BUC
 
 def save_index(index: dict[str, DataFrame], path: str) -> None:
     """Write the tables of a text index; postings are sorted by term, so that a look-up skips row groups."""
-    for name, df in index.items():
+    for name in TABLES:
+        df = index[name]
         df = df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else df
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Read a text index."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "term_stats", "corpus_stats")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}

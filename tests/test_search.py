@@ -119,3 +119,23 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(search, "MAX_QUERIES", 4)
     assert found() == want and len(want[0]) == 10
+
+
+def test_index_shuffles_no_postings(spark):
+    rows = [(1, "b a b", ), (2, None), (3, ""), (4, "B 你好吗 c"), (5, "a " * 600 + "z")]
+    index = search.build_index(spark.createDataFrame(rows, "memory_key long, content_text string").repartition(2))
+    assert "Exchange" not in index["postings"]._jdf.queryExecution().toString()
+    found = {(r.term, r.memory_key): (r.dl, r.tf) for r in index["postings"].collect()}
+    assert found == {("b", 1): (3, 2), ("a", 1): (3, 1), ("b", 4): (4, 1), ("你好", 4): (4, 1), ("好吗", 4): (4, 1), ("c", 4): (4, 1), ("a", 5): (601, 600), ("z", 5): (601, 1)}
+    ids, held = search.by_memory(index)
+    assert "Exchange" not in held._jdf.queryExecution().toString()
+    name = {r.id: r.term for r in ids.collect()}
+    tell = lambda held: {(r.memory_key, name[t], tf) for r in held.collect() for t, tf in zip(r.terms, r.tfs)}
+    assert tell(held) == {(key, term, tf) for (term, key), (_, tf) in found.items()}
+    assert tell(search.by_memory({name: df for name, df in index.items() if name != "forward"})[1]) == tell(held)
+
+
+def test_texts_that_hits_are_joined_to_are_not_shuffled(spark):
+    hits = R.simple_search(memories(spark), search.build_index(memories(spark)), spark.createDataFrame([(1, "w1 w2", [1.0] * 8)], "query_id long, query_text string, content_vec array<float>"))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
