@@ -149,8 +149,15 @@ class Band:
                 kth = np.partition(own, -self.k, axis=0)[-self.k]
                 alike = np.cumsum(own == kth, axis=0) >= self.k - (own > kth).sum(0)
                 self.word, self.key = kth, np.where(kth > -np.inf, np.sort(keys)[alike.argmax(0)], self.key)
-        every = np.arange(self.n)[None]
-        row, query = np.nonzero(ok & ((vectors >= self._above(every, words)) | (words > self.word) | ((words == self.word) & (keys[:, None] < self.key))))
+        # what is beaten at the last level whose k-th is known, and has no more words than that, is beaten at its own level
+        last = (self.least > -np.inf).sum(1) - 1
+        bar, reach = np.where(last < 0, -np.inf, self.least[np.arange(self.n), last]), np.where(last < 0, -np.inf, last * self.step)
+        more = words > self.word
+        early = np.flatnonzero(keys < self.key.max())
+        more[early] |= (words[early] == self.word) & (keys[early, None] < self.key)
+        row, query = np.nonzero(ok & ((vectors >= bar) | (words > reach) | more))
+        near = (vectors[row, query] >= self._above(query, words[row, query])) | more[row, query]
+        row, query = row[near], query[near]
         self.held.append(np.rec.fromarrays([query, words[row, query], vectors[row, query], keys[row], content[row, query]], names="q,w,v,key,c"))
         self.size += len(row)
         if self.size > 2 * self.limit + 100_000:
