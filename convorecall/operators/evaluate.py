@@ -76,8 +76,8 @@ def labelled_results(hits: DataFrame, labelled: DataFrame, memories: DataFrame,
     """
     found = few(hits.where(F.col("rank") <= k))
     found = found.join(memories.select("memory_key", "content_text", F.col("start_timestamp").cast("bigint").alias("timestamp")), "memory_key").join(labelled.select("query_id", "type", "expected"), "query_id")
-    low = F.lower("content_text")
-    matched = F.coalesce(F.try_divide(F.size(F.filter("expected", lambda w: F.contains(low, F.lower(w)))), F.size("expected")), F.lit(0.0))
+    held = F.transform(F.array(F.lower("content_text")), lambda low: F.size(F.filter("expected", lambda w: F.contains(low, F.lower(w)))))[0]  # a text is lowered once, not once a word
+    matched = F.coalesce(F.try_divide(held, F.size("expected")), F.lit(0.0))
     return found.withColumns({"content": F.substring("content_text", 1, chars), "matched": matched}).drop("content_text")
 
 
