@@ -30,7 +30,7 @@ class Asked:
         often = often[self.held[often] > FREQUENT * self.n]
         self.dense = np.full(len(self.terms), -1, np.int64)
         self.dense[often] = np.arange(len(often))
-        self.width, self.matrix = len(often), None
+        self.width, self.matrix, self.ones = len(often), None, None
         order = np.argsort(at, kind="stable")
         self.queries, self.times = query[order], times[order]
         self.starts = np.cumsum(self.held) - self.held
@@ -65,8 +65,9 @@ class Asked:
 
     def _once(self, *rows) -> np.ndarray:
         times, matrix = self.times, self.matrix
-        self.times, self.matrix = np.ones(len(times)), None
+        self.times, self.matrix = np.ones(len(times)), self.ones
         out = self._summed(*rows)
+        self.ones = self.matrix
         self.times, self.matrix = times, matrix
         return out
 
