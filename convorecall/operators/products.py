@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Frequent terms that are multiplied as a full matrix, and the share of a block's queries from which a term is frequent.
 DENSE, FREQUENT = 1024, 0.05
+#: Pairs of a memory's term and a query that has it, of terms that are not frequent, which a task holds at once.
+ENTRIES = 1_000_000
 #: Scores of like rows may differ by this, as sums are not always taken in one order.
 TIES = 1e-12
 #: Steps of keyword scores at which a task knows its k-th best vector score.
@@ -82,10 +84,15 @@ class Asked:
         out = own @ self.matrix
         row, at, impact = row[~full], at[~full], impact[~full]
         many = self.held[at]
-        if many.sum():
-            entry = np.repeat(self.starts[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            place = np.repeat(row, many) * self.n + self.queries[entry]
-            out += np.bincount(place, np.repeat(impact, many) * self.times[entry], n * self.n).reshape(n, self.n)
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(many) and ends[-1] > 0:  # rows ascend, so a part of the entries is a few rows
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + ENTRIES)))
+            part, begin, end = many[lo:hi], row[lo], row[hi - 1] + 1
+            entry = np.repeat(self.starts[at[lo:hi]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            place = np.repeat(row[lo:hi] - begin, part) * self.n + self.queries[entry]
+            out[begin:end] += np.bincount(place, np.repeat(impact[lo:hi], part) * self.times[entry], (end - begin) * self.n).reshape(end - begin, self.n)
+            lo = hi
         return out
 
 

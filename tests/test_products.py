@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from convorecall.operators import blockmax, search
+from convorecall.operators import blockmax, products, search
 from convorecall.operators.products import Band, band
 from convorecall.tables import written
 
@@ -74,3 +75,20 @@ def test_no_bounds_of_queries_and_ranges_are_written(spark, monkeypatch):
     monkeypatch.setattr(blockmax, "written", counted)
     assert {r.blocks for r in blockmax.report(built, q, 5, 1).collect()} == {built["blocks"].where("term in ('common', 'w1', 'w2')").count()}
     assert held and max(held) <= 150
+
+
+def test_few_entries_at_once(monkeypatch):
+    """Sums in parts of a few rows are those of all rows at once."""
+    rng = np.random.default_rng(4)
+    words = pa.table({"query_id": np.repeat(np.arange(40), 6), "id": np.concatenate([rng.choice(300, 6, False) for _ in range(40)]), "qtf": rng.random(240)})
+    asked = products.Asked(pa.table({"query_id": np.arange(40)}), words)
+    terms = pa.array([rng.choice(300, n, False).tolist() for n in (30, 0, 200, 5, 0, 60)])
+    impacts = pa.array([rng.random(len(x)).tolist() for x in terms.to_pylist()])
+    want = asked.scores(terms, impacts)[0]
+    by_hand = [[sum(t * i for q_, w, t in zip(*(words.column(c).to_pylist() for c in ("query_id", "id", "qtf"))) if q_ == q for x, i in zip(own, weight) if x == w) for q in range(40)] for own, weight in zip(terms.to_pylist(), impacts.to_pylist())]
+    assert np.allclose(want, by_hand) and (asked.dense < 0).any()
+    sizes = []
+    monkeypatch.setattr(products, "ENTRIES", 7)
+    count = np.bincount
+    monkeypatch.setattr(products.np, "bincount", lambda x, *rest: sizes.append(len(x)) or count(x, *rest))
+    assert np.allclose(asked.scores(terms, impacts)[0], want) and len(sizes) > 5
