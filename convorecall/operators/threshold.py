@@ -146,18 +146,13 @@ def _ordered(block: pa.Table, asked: Asked, tops: np.ndarray, least: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(sought.ids)
-        lists, held = (Best(n, most), Best(n, most)), np.zeros((2, n), np.int64)
+        lists, held = [np.full((most, n), -np.inf)] * 2, np.zeros((2, n), np.int64)
         for frame in _slices(batches, sought.rows):
             both = _both(frame, sought, words)[:2]
             held += [(x > -np.inf).sum(0) for x in both]
-            for own, place in zip(lists, both):
-                own.add(place, _column(frame, "memory_key").to_numpy())
-        filled = []
-        for own, rest in zip(lists, (0.0, NONE)):
-            scores = np.full((n, most), rest)
-            if (b := own.rows()) is not None:
-                scores[b.q, np.arange(len(b)) - np.searchsorted(b.q, b.q)] = -b.v
-            filled.append(scores)
+            lists = [np.partition(np.concatenate([own, x]), len(x), axis=0)[len(x) :] for own, x in zip(lists, both)]
+        lists = [-np.sort(-own, axis=0).T for own in lists]
+        filled = [np.where(own > -np.inf, own, rest) for own, rest in zip(lists, (0.0, NONE))]
         below = weights[0] * filled[0] / over[:, None] + weights[1] * filled[1] + SLACK < least[:, None]
         far = np.where(below.any(1), spare * (below.argmax(1) + 4), most)
         ends = [np.minimum(np.minimum(far, most), x) for x in held]
